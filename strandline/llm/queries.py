@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import packing, simhash
+from strandline.llm import mixing, packing, simhash, warc
 from strandline.llm.common import table
 
 
@@ -22,5 +22,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_simhash_neardup": op3_simhash_neardup, "op9_packing": op9_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op2_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op2_warc_assembly": op2_warc_assembly,
+    "op3_simhash_neardup": op3_simhash_neardup,
+    "op6_cube_mixing": op6_cube_mixing,
+    "op9_packing": op9_packing,
+}
+ORACLE_SQL: dict[str, str] = {"op2_warc_assembly": OP2_SQL}
