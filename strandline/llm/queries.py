@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import mixing, packing, simhash, warc
+from strandline.llm import embeddings, mixing, packing, simhash, warc
 from strandline.llm.common import table
 
 
@@ -43,10 +43,38 @@ def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) c ON c.x = e.vec_id
+JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = e.vec_id
+"""
+
+
 QUERIES = {
     "op2_warc_assembly": op2_warc_assembly,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op6_cube_mixing": op6_cube_mixing,
     "op9_packing": op9_packing,
+    "op10_embedding_neardup": op10_embedding_neardup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc_assembly": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_assembly": OP2_SQL, "op10_embedding_neardup": OP10_SQL}
