@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import embeddings, mixing, packing, quality, simhash, warc
+from strandline.llm import embeddings, mixing, packing, quality, simhash, toxicity, warc
 from strandline.llm.common import table
 
 
@@ -39,6 +39,10 @@ FROM q
 """
 
 
+def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = e.vec_i
 QUERIES = {
     "op2_warc_assembly": op2_warc_assembly,
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op4_toxicity_gru": op4_toxicity_gru,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_cube_mixing": op6_cube_mixing,
     "op9_packing": op9_packing,
