@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import embeddings, mixing, packing, quality, simhash, toxicity, warc
+from strandline.llm import embeddings, mixing, packing, pii, quality, simhash, toxicity, warc
 from strandline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -79,6 +83,7 @@ JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = e.vec_i
 
 
 QUERIES = {
+    "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_warc_assembly": op2_warc_assembly,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_toxicity_gru": op4_toxicity_gru,
