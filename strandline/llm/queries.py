@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import embeddings, mixing, packing, pii, quality, simhash, toxicity, warc
+from strandline.llm import chat, embeddings, licenses, mixing, packing, pii, quality, simhash, toxicity, warc
 from strandline.llm.common import table
 
 
@@ -55,6 +55,46 @@ def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.lookup(table(spark, sf_dir, "documents"))
+
+
+def _op7_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def canonical(text: str) -> str:
+        plain = f"regexp_replace(lower({text}), {quoted(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
+        plain = rf"' ' || trim(regexp_replace({plain}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        for old, new in licenses.SPELLINGS:
+            plain = f"replace({plain}, ' {old} ', ' {new} ')"
+        return f"trim({plain})"
+
+    rows = ", ".join(f"({quoted(t)}, {quoted(i)})" for i, t in licenses.KNOWN)
+    return rf"""
+WITH known AS (SELECT sha256({canonical("k")}) AS digest, min(license) AS license FROM (VALUES {rows}) v(k, license) GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+whole AS (SELECT r, doc_id, sha256({canonical("t")}) AS digest FROM docs),
+parts AS (
+  SELECT DISTINCT r, {canonical("part")} AS c FROM (
+    SELECT r, unnest(list_concat(regexp_split_to_array(t, '
+[ 	]*
+'), string_split(t, chr(10)))) AS part FROM docs
+  ) WHERE regexp_matches(part, '(?i)licen[cs]e|permission|warrant|software')
+),
+hits AS (
+  SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS part_licenses, count(*) AS n_parts
+  FROM parts JOIN known ON sha256(c) = known.digest WHERE len(string_split(c, ' ')) >= {licenses.LEAST_WORDS} GROUP BY r
+)
+SELECT doc_id, whole.digest, license, coalesce(part_licenses, '') AS part_licenses, coalesce(n_parts, 0) AS n_parts
+FROM whole LEFT JOIN known ON whole.digest = known.digest LEFT JOIN hits ON hits.r = whole.r
+"""
+
+
+def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -89,7 +129,9 @@ QUERIES = {
     "op4_toxicity_gru": op4_toxicity_gru,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_cube_mixing": op6_cube_mixing,
+    "op7_license_digests": op7_license_digests,
+    "op8_chat_repair": op8_chat_repair,
     "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc_assembly": OP2_SQL, "op10_embedding_neardup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_assembly": OP2_SQL, "op7_license_digests": _op7_sql(), "op10_embedding_neardup": OP10_SQL}

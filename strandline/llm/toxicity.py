@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandline.llm.common import binary
 
@@ -409,19 +410,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     return bytes(found.mapInArrow(run, "model binary").first()["model"])
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
-    """docs(doc_id, text, ...) and labels(doc_id, toxic, ...): returns (doc_id, held_out, score, predicted), a row for each row of docs.
-
-    Null, empty and blank texts get a low score. Without labels of both kinds every score is the smoothed rate of toxic
-    labels. Texts are scored whole and labels, languages, sources and doc_ids are never part of a score. A null doc_id isn't
-    held out. Rows that repeat a doc_id get a score each; other columns are ignored.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """docs with a last column score; their other columns go along as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, most))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model.value)
         for b in batches:
-            texts = binary(b.column(1))
+            texts = binary(b.column(at))
             found: list[np.ndarray] = []
             begin = size = 0
             for i, t in enumerate(texts):
@@ -430,12 +427,27 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
                     found.append(scorer.scores(texts[begin : i + 1]))
                     begin, size = i + 1, 0
             found.append(scorer.scores(texts[begin:]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found))], names=[*b.schema.names, "score_"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score_", DoubleType())]))
+
 
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
+    """docs(doc_id, text, ...) and labels(doc_id, toxic, ...): returns (doc_id, held_out, score, predicted), a row for each row of docs.
+
+    Null, empty and blank texts get a low score. Without labels of both kinds every score is the smoothed rate of toxic
+    labels. Texts are scored whole and labels, languages, sources and doc_ids are never part of a score. A null doc_id isn't
+    held out. Rows that repeat a doc_id get a score each; other columns are ignored.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(run, "doc_id long, score double")
+    scored = _scored(texts, labels, label, most)
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return scored.select("doc_id", out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", out, F.col("score_").alias("score"), (F.col("score_") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below 0.5."""
+    return _scored(docs, labels, label, most).where("score_ < 0.5").drop("score_")
 
 
 _SCORERS: dict[int, Scorer] = {}
