@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +28,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share, as the session names it."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints") + f"/strandline-{label}-{uuid.uuid4().hex}"
+
+
 # --- transitions
 
 #: Tests of events: the first two days stand for "pre", the last two for "post".
@@ -126,9 +132,9 @@ def typed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag")
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE regexp_matches(p_type, 'STEEL|BRASS') AND p_size BETWEEN 5 AND 30")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE regexp_matches(p_type, 'PROMO|SMALL') AND p_size BETWEEN 5 AND 30")
 def typed_filter_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predicates.typed_filter(load(spark, sf_dir, "part"), {"p_type": "STEEL|BRASS", "p_size": (5, 30)}).select("p_partkey", "p_name", "p_type")
+    return predicates.typed_filter(load(spark, sf_dir, "part"), {"p_type": "PROMO|SMALL", "p_size": (5, 30)}).select("p_partkey", "p_name", "p_type")
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
@@ -347,9 +353,9 @@ def broadcast_price_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round(joins.cost(F.col("user_id"), F.col("event_id"), F.col("in_price"), F.col("out_price")), 9).alias("cost"))
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'ferrous' WHEN contains(lower(p_type), 'tin') THEN 'tin' WHEN contains(lower(p_type), 'copper') THEN 'copper' END AS family FROM part""")
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 'ring' WHEN contains(lower(p_name), 'red') THEN 'red' WHEN contains(lower(p_name), 'bolt') THEN 'bolt' END AS family FROM part""")
 def substring_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.rule_match(load(spark, sf_dir, "part").select("p_partkey", "p_type"), F.lower("p_type"), [("steel", "ferrous"), ("tin", "tin"), ("copper", "copper")], "family").select("p_partkey", "family")
+    return joins.rule_match(load(spark, sf_dir, "part").select("p_partkey", "p_name"), F.lower("p_name"), [("ring", "ring"), ("red", "red"), ("bolt", "bolt")], "family").select("p_partkey", "family")
 
 
 WEIGHTS = [(r"^https://", 1.5), (r"/(?:en|de)/", 2.0), (r"page=[0-9]+", 1.2), (r"example\.org", 3.0)]
@@ -450,11 +456,11 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.compare_runs(order_runs(spark, sf_dir), "run"))
 
 
-CHAIN = [("steel", "metal"), ("copper", "metal"), ("brass", "alloy"), ("tin", "soft")]
+CHAIN = [("large", "big"), ("economy", "big"), ("small", "little"), ("promo", "offer")]
 
 
-@query("""SELECT category, n, round(100.0 * n / sum(n) OVER (), 6)::DOUBLE AS share FROM (SELECT CASE WHEN contains(lower(p_type), 'steel') THEN 'metal' WHEN contains(lower(p_type), 'copper') THEN 'metal'
-    WHEN contains(lower(p_type), 'brass') THEN 'alloy' WHEN contains(lower(p_type), 'tin') THEN 'soft' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1)""")
+@query("""SELECT category, n, round(100.0 * n / sum(n) OVER (), 6)::DOUBLE AS share FROM (SELECT CASE WHEN contains(lower(p_type), 'large') THEN 'big' WHEN contains(lower(p_type), 'economy') THEN 'big'
+    WHEN contains(lower(p_type), 'small') THEN 'little' WHEN contains(lower(p_type), 'promo') THEN 'offer' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1)""")
 def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = aggregates.histogram(load(spark, sf_dir, "part"), extract.error_category(F.col("p_type"), CHAIN))
     return out.withColumn("share", F.round("share", 6))
@@ -537,9 +543,9 @@ def shortest_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorting.shortest(load(spark, sf_dir, "documents"), "text", "doc_id", 25).select("doc_id", "length")
 
 
-@query("""SELECT p_brand, arg_min(p_name, (CASE WHEN contains(p_type, 'STEEL') THEN 0 ELSE 1 END, length(p_name), p_name)) AS p_name FROM part GROUP BY 1""")
+@query("""SELECT p_brand, arg_min(p_name, (CASE WHEN contains(p_type, 'SMALL') THEN 0 ELSE 1 END, length(p_name), p_name)) AS p_name FROM part GROUP BY 1""")
 def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorting.pick(load(spark, sf_dir, "part"), ["p_brand"], "p_name", [F.when(F.contains("p_type", F.lit("STEEL")), 0).otherwise(1)])
+    return sorting.pick(load(spark, sf_dir, "part"), ["p_brand"], "p_name", [F.when(F.contains("p_type", F.lit("SMALL")), 0).otherwise(1)])
 
 
 @query("""SELECT s_nationkey, s_suppkey, rank FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INTEGER AS rank FROM supplier) WHERE rank <= greatest(4 - s_nationkey % 6, 0)""")
@@ -682,10 +688,10 @@ def patch_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.repair_headers(event_patches(spark, sf_dir), "patch", ["user_id"]).select("user_id", "path", "hunk_no", "header")
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^STANDARD') THEN 'debug' WHEN regexp_matches(p_type, 'TIN$') THEN 'release' WHEN regexp_matches(p_brand, '#1') THEN 'all' ELSE 'default' END AS variants FROM part""")
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^STANDARD') THEN 'debug' WHEN regexp_matches(p_type, 'MO$') THEN 'release' WHEN regexp_matches(p_brand, '#1') THEN 'all' ELSE 'default' END AS variants FROM part""")
 def rule_table_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("p_type", F.lit("|"), "p_brand")
-    rules = [(r"^STANDARD", "debug"), (r"TIN\|", "release"), (r"\|.*#1", "all")]
+    rules = [(r"^STANDARD", "debug"), (r"MO\|", "release"), (r"\|.*#1", "all")]
     return joins.rule_match(load(spark, sf_dir, "part").select("p_partkey", key.alias("key")), F.col("key"), rules, "variants", "default", regex=True).select("p_partkey", "variants")
 
 
@@ -706,11 +712,9 @@ def strict_reader_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, min(value) AS least, max(value) AS greatest FROM events GROUP BY 1")
 def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from strandline.streaming import state
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints") + f"/strandline-stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     schema = load(spark, sf_dir, "events").schema
     folder, _, name = f"{sf_dir}/events.parquet".rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -720,11 +724,9 @@ def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
 def resume_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from strandline.streaming import state
 
-    path = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints") + f"/strandline-resume-{uuid.uuid4().hex}"
+    path = shared_path(spark, "resume")
     rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     state.resume_append(rows.where("o_orderkey % 2 = 0"), path, "o_orderkey", rows.schema)
     return state.resume_append(rows.where("o_orderkey % 2 = 0 or o_orderkey % 5 = 0"), path, "o_orderkey", rows.schema)
