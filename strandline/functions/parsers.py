@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HEADER = re.compile(r"^(?:diff --git |index [0-9a-f]+\.\.|--- |\+\+\+ |@@ |new file mode|deleted file mode|similarity index|rename )")
 BODY = re.compile(r"^[-+ \\]")
@@ -57,12 +58,12 @@ def relevant_log(text: str | None, after: int = 5, least: int = 500, tail: int =
     return found if len(found) >= least else found + "\n" + (text or "")[-tail:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def patch_by_state_udf(texts: pd.Series) -> pd.Series:
     return texts.map(patch_by_state)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def relevant_log_udf(texts: pd.Series) -> pd.Series:
     return texts.map(relevant_log)
 
