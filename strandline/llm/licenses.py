@@ -82,6 +82,8 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     """(digest, license): a row for each distinct canonical form of the known texts."""
+    if not known:
+        return spark.range(0).select(F.lit("").alias("digest"), F.lit("").alias("license"))
     rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("known_text")) for i, t in known])
     listed = spark.range(1).select(F.explode(rows).alias("k")).select("k.*")
     return listed.groupBy(digest(F.col("known_text")).alias("digest")).agg(F.min("license").alias("license"))
