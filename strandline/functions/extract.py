@@ -378,3 +378,34 @@ def relevance(path: Column, issue: Column, weights: list[tuple[str, float]], key
     named = F.when(F.contains(F.lower(issue), F.lower(stem(path))), 2.0).otherwise(1.0)
     shared = F.when(shared_word(F.lower(issue), F.lower(path), keywords), 1.5).otherwise(1.0)
     return heaviest_pattern(path, weights) * named * shared
+
+
+def prompt_brief(statement: Column) -> Column:
+    """The statement alone."""
+    return F.concat_ws("\n", F.lit("<issue>"), statement, F.lit("</issue>"))
+
+
+def prompt_with_example(statement: Column, files: Column, example: str) -> Column:
+    """prompt() with an example of an answer behind it."""
+    return F.concat_ws("\n", prompt(statement, files), F.lit("<patch>"), F.lit(example), F.lit("</patch>"))
+
+
+def prompt_edits_only(statement: Column, path: Column, text: Column, start: Column, length: Column, before: int = 15) -> Column:
+    """The statement and of one file the lines around a change."""
+    from strandline.operators.windows import lines_around
+
+    return F.concat_ws("\n", prompt_brief(statement), file_section(path, F.array_join(lines_around(text, start, length, before), "\n")))
+
+
+def candidate_ids(ids: DataFrame, known: DataFrame, name: str = "listed", key: str = "instance_id") -> DataFrame:
+    """Known ids that a listed text names: equal, or the listed one's trailing number is theirs."""
+    by_number = known.select(key, trailing_number(F.col(key)).alias("number_"))
+    exact = ids.join(known, F.col(name) == F.col(key)).select(key)
+    numbered = ids.select(trailing_number(F.col(name)).alias("number_")).where("number_ is not null").join(by_number, "number_").select(key)
+    return exact.unionByName(numbered).distinct()
+
+
+def classes_in_modules(classes: DataFrame, files: DataFrame, name: str = "class_name", path: str = "path") -> DataFrame:
+    """Each class with the modules that have its source file: an equi-join on the class that a path stands for."""
+    listed = files.select(path_to_class(F.col(path)).alias(name), path_to_module(F.col(path)).alias("module"))
+    return classes.join(listed, name, "left").groupBy(name).agg(F.array_sort(F.collect_set("module")).alias("modules"))

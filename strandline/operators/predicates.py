@@ -14,6 +14,14 @@ COMPILE_MARKERS = (
 )
 
 
+#: White space that is cut off both ends.
+BLANK = " \t\n\r\f\x0b"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANK))
+
+
 def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -51,7 +59,7 @@ def valid_pull(merged_at: Column, issues: Column) -> Column:
 
 def has_text(*columns: Column, trimmed: bool = False) -> Column:
     """All columns are neither null nor empty, nor blank if trimmed."""
-    return every([F.coalesce(F.trim(c) if trimmed else c, F.lit("")) != "" for c in columns])
+    return every([F.coalesce(stripped(c) if trimmed else c, F.lit("")) != "" for c in columns])
 
 
 def suffix_match(df: DataFrame, ids: DataFrame, key: str, listed: str = "listed", allow: bool = True) -> DataFrame:
@@ -113,8 +121,8 @@ def patch_format(patch: Column) -> Column:
     """struct(valid, reason)."""
     text = F.coalesce(patch, F.lit(""))
     marked = text.rlike(r"(?m)^(?:diff --git |--- |\+\+\+ |@@ )")
-    few = F.size(F.split(F.trim(text), "\n")) < 2
-    reason = F.when(F.trim(text) == "", "empty").when(~marked, "no patch markers").when(few, "too short")
+    few = F.size(F.split(stripped(text), "\n")) < 2
+    reason = F.when(stripped(text) == "", "empty").when(~marked, "no patch markers").when(few, "too short")
     return F.struct(reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 

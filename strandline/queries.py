@@ -730,3 +730,145 @@ def resume_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     state.resume_append(rows.where("o_orderkey % 2 = 0"), path, "o_orderkey", rows.schema)
     return state.resume_append(rows.where("o_orderkey % 2 = 0 or o_orderkey % 5 = 0"), path, "o_orderkey", rows.schema)
+
+
+# --- further extraction: texts made from rows, so that the rows are the expected result
+
+EVENT_STATUS_SQL = STATUS_SQL
+
+
+def event_status() -> Column:
+    v = F.col("value")
+    return F.when(v < 25, "FAILED").when(v < 35, "ERROR").when(v < 45, "SKIPPED").otherwise("PASSED")
+
+
+@query(f"SELECT user_id, 'C' || event_type AS class_name, 't' || event_id AS test_name, {STATUS_SQL} AS status FROM events")
+def junit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    child = F.when(event_status() == "FAILED", "><failure>f</failure></testcase>").when(event_status() == "ERROR", "><error>e</error></testcase>")
+    child = child.when(event_status() == "SKIPPED", "><skipped>s</skipped></testcase>").otherwise("/>")
+    case = F.concat(F.lit('<testcase name="t'), F.col("event_id").cast("string"), F.lit('" classname="C'), "event_type", F.lit('"'), child)
+    logs = event_logs(spark, sf_dir, case).withColumn("xml", F.concat(F.lit("<testsuite>"), "log", F.lit("<testcase/></testsuite>")))
+    cases = logs.select("user_id", F.explode(extract.junit_embedded(F.col("xml"))).alias("c")).select("user_id", "c.*")
+    return cases.where("test_name is not null")
+
+
+@query(f"""SELECT user_id, event_type || '.xml' AS file, (SELECT 'body ' || min(f.event_id) FROM events f WHERE f.user_id = e.user_id AND f.event_type = e.event_type) AS body FROM events e GROUP BY user_id, event_type""")
+def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("noise\n=== XML FILE: "), "event_type", F.lit(".xml ===\nbody "), F.col("event_id").cast("string"), F.lit("\n=== END"))
+    return event_logs(spark, sf_dir, line).select("user_id", F.explode(extract.log_sections(F.col("log"))).alias("s")).select("user_id", "s.file", "s.body")
+
+
+@query(f"SELECT user_id, 't' || event_id AS name, 'a.' || event_type AS class_name, {STATUS_SQL} AS status FROM events")
+def report_line_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("  - t"), F.col("event_id").cast("string"), F.lit(" (a."), "event_type", F.lit(") - "), event_status())
+    return event_logs(spark, sf_dir, line).select("user_id", F.explode(extract.report_lines(F.col("log"))).alias("r")).select("user_id", "r.*")
+
+
+@query("SELECT user_id, string_agg(event_type || '; ' || event_id, chr(9) ORDER BY event_id) AS flat FROM events GROUP BY 1")
+def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat("event_type", F.lit(", "), F.col("event_id").cast("string"))
+    logs = event_logs(spark, sf_dir, line).withColumn("log", F.concat(F.lit("=====\n"), "log", F.lit("\nSummary: all\nTotal: 3")))
+    return logs.select("user_id", extract.flat_report(F.col("log")).alias("flat"))
+
+
+@query("""SELECT p_partkey, p_size || '.4' AS gradle, CASE WHEN p_size % 10 >= 8 THEN '17' WHEN p_size % 10 = 7 THEN '11' ELSE '8' END AS java, greatest(21, least(p_size, 34))::INTEGER AS sdk,
+  '-Xmx' || p_size || 'm' AS jvm_args, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR END AS ndk FROM part""")
+def build_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    properties = F.concat(F.lit("distributionUrl=https\\://x/gradle-"), size, F.lit(".4-bin.zip\norg.gradle.jvmargs=-Xmx"), size, F.lit("m\n"))
+    gradle = F.concat(F.lit("classpath 'com.android.tools.build:gradle:"), (F.col("p_size") % 10).cast("string"), F.lit(".1'\ncompileSdkVersion "), size, F.lit("\n"))
+    gradle = F.concat(gradle, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("ndkVersion = \""), size, F.lit("\"\n"))).otherwise(""))
+    return load(spark, sf_dir, "part").select("p_partkey", extract.build_config(properties, gradle).alias("c")).select("p_partkey", "c.*")
+
+
+@query("""SELECT p_partkey, ':app,:lib' || p_size || CASE WHEN p_size > 25 THEN ',:x:y' ELSE '' END AS modules, CASE p_size % 3 WHEN 0 THEN 'application' WHEN 1 THEN 'library' ELSE 'unknown' END AS kind FROM part""")
+def settings_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = F.concat(F.lit("include ':app', ':lib"), F.col("p_size").cast("string"), F.lit("'\n// include ':no'\n"), F.when(F.col("p_size") > 25, 'include(":x:y")').otherwise(""))
+    build = F.when(F.col("p_size") % 3 == 0, "id 'com.android.application'").when(F.col("p_size") % 3 == 1, "id 'com.android.library'").otherwise("nothing")
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.included_modules(settings), ",").alias("modules"), extract.module_type(build).alias("kind"))
+
+
+@query("SELECT p_partkey, p_brand AS base, p_size::VARCHAR AS count FROM part")
+def key_value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("noise=1\nBASE_SHA="), "p_brand", F.lit("\nwords\nCOUNT="), F.col("p_size").cast("string"))
+    m = extract.key_values(text)
+    return load(spark, sf_dir, "part").select("p_partkey", F.try_element_at(m, F.lit("BASE_SHA")).alias("base"), F.try_element_at(m, F.lit("COUNT")).alias("count"))
+
+
+@query("""SELECT event_id, event_type <> 'error' AS repo_cloned, event_type NOT IN ('error', 'view') AS container_created, event_type NOT IN ('error', 'view', 'click') AS prediction_patch_applied FROM events""")
+def failure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    text = F.when(kind == "error", "Failed to clone: x").when(kind == "view", "Failed to create container").when(kind == "click", "x Failed to apply prediction patch").otherwise("all good")
+    s = load(spark, sf_dir, "events").select("event_id", extract.failure_stage(text).alias("s"))
+    return s.select("event_id", "s.repo_cloned", "s.container_created", "s.prediction_patch_applied")
+
+
+@query("""SELECT p_partkey, 2::BIGINT AS files, p_name || '2' || chr(10) AS content FROM part""")
+def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def block(head: str, path: str, tail: str) -> Column:
+        return F.concat(F.lit(f"{head}: {path}\n```kotlin\n"), "p_name", F.lit(f"{tail}\n```\n"))
+
+    answer = F.concat(F.lit("Here:\n"), block("FILE", "a.kt", "1"), block("MODIFY", "b.kt", ""), block("FILE", "a.kt", "2"))
+    m = extract.generated_files(answer)
+    return load(spark, sf_dir, "part").select("p_partkey", F.size(m).cast("long").alias("files"), F.element_at(m, "a.kt")["content"].alias("content"))
+
+
+@query("""SELECT event_id, 'src/M' || event_id || CASE event_type WHEN 'view' THEN '.kt' WHEN 'click' THEN '.java' ELSE '.py' END AS path, 'run' || user_id AS method FROM events WHERE event_type IN ('view', 'click', 'error')""")
+def modified_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    path = F.concat(F.lit("src/M"), F.col("event_id").cast("string"), F.when(kind == "view", ".kt").when(kind == "click", ".java").otherwise(".py"))
+    line = F.when(kind == "view", F.concat(F.lit("+    fun run"), user, F.lit("(a: Int) {"))).when(kind == "click", F.concat(F.lit("+    public static int run"), user, F.lit("(int a) {")))
+    line = line.otherwise(F.concat(F.lit("+def run"), user, F.lit("(a):")))
+    patch = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n fun kept() {\n-fun gone() {\n+ if (x) {\n"), line, F.lit("\n"))
+    rows = load(spark, sf_dir, "events").where(kind.isin("view", "click", "error")).select("event_id", patch.alias("patch"))
+    return extract.modified_methods(rows, "patch", ["event_id"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'freeDebug,paidDebug' ELSE 'free,release' END AS preferred, CASE WHEN p_size > 25 THEN 'Free,Paid' ELSE '' END AS flavors FROM part""")
+def variant_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    many = F.col("p_size") > 25
+    variants = F.when(many, F.array(F.lit("freeDebug"), F.lit("paidDebug"), F.lit("release"))).otherwise(F.array(F.lit("free"), F.lit("release")))
+    tasks = F.when(many, F.array(F.lit("testPaidDebugUnitTest"), F.lit("testFreeDebugUnitTest"), F.lit("testFreeReleaseUnitTest"))).otherwise(F.array(F.lit("lint")))
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.preferred_variants(variants), ",").alias("preferred"), F.array_join(aggregates.task_flavors(tasks), ",").alias("flavors"))
+
+
+@query("""SELECT event_id, event_type = 'view' AS valid, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'no patch markers' WHEN 'error' THEN 'too short' ELSE 'empty' END AS reason FROM events""")
+def patch_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    patch = F.when(kind == "view", "diff --git a/x b/x\n+1").when(kind == "click", "some\nwords").when(kind == "error", "@@ -1 +1 @@").otherwise(" \n")
+    return load(spark, sf_dir, "events").select("event_id", predicates.patch_format(patch).alias("f")).select("event_id", "f.valid", "f.reason")
+
+
+@query("""SELECT user_id, min(event_id) AS event_id, '+line ' || min(event_id) || chr(10) AS patch FROM events GROUP BY user_id""")
+def best_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.functions import parsers
+
+    first = load(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    line = F.concat(F.lit("+line "), F.col("event_id").cast("string"))
+    answer = F.concat(F.lit("I think\n"), line, F.lit("\nis the fix"))
+    found = first.withColumn("patch", parsers.best_patch(answer))
+    return found.select("user_id", "event_id", "patch")
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License')))::BIGINT AS n, length(text)::INTEGER - 5 AS chars FROM documents""")
+def line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = extract.diff_size(F.lit("12345"), F.col("text"))
+    hits = F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("License")))).cast("long")
+    return load(spark, sf_dir, "documents").select("doc_id", hits.alias("n"), grown["chars"].alias("chars"))
+
+
+@query("""SELECT conv_id, md5('<issue>' || chr(10) || coalesce(first, '') || chr(10) || '</issue>') AS brief_md5, md5(string_agg('1 ' || role, chr(10) ORDER BY turn::VARCHAR)) AS numbered_md5 FROM (
+  SELECT *, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1)) GROUP BY conv_id, first""")
+def prompt_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.keep_first(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], [F.col("role"), F.col("text")])
+    held = rows.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first"), F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), F.col("role")))).alias("files"))
+    numbers = F.array_join(F.transform(F.array_sort(F.map_entries("files")), lambda e: extract.numbered(e["value"])), "\n")
+    return held.select("conv_id", F.md5(extract.prompt_brief(F.coalesce("first", F.lit(""))).cast("binary")).alias("brief_md5"), F.md5(numbers.cast("binary")).alias("numbered_md5"))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL) SELECT start, event_type, n, total FROM w""")
+def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.streaming import state
+
+    out = state.windowed_stats(load(spark, sf_dir, "events"), "ts", ["event_type"], F.col("value"), "1 hour", "1 hour")
+    return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
