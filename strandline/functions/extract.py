@@ -409,3 +409,11 @@ def classes_in_modules(classes: DataFrame, files: DataFrame, name: str = "class_
     """Each class with the modules that have its source file: an equi-join on the class that a path stands for."""
     listed = files.select(path_to_class(F.col(path)).alias(name), path_to_module(F.col(path)).alias("module"))
     return classes.join(listed, name, "left").groupBy(name).agg(F.array_sort(F.collect_set("module")).alias("modules"))
+
+
+def split_binary(patch: Column) -> Column:
+    """struct(text, binary): a patch's parts for text files and those for binary ones, each joined in order."""
+    parts = patch_files(patch)
+    mark = r"(?m)^(?:GIT binary patch|Binary files .* differ)$"
+    text, binary = F.filter(parts, lambda p: ~p.rlike(mark)), F.filter(parts, lambda p: p.rlike(mark))
+    return F.struct(F.array_join(text, "").alias("text"), F.array_join(binary, "").alias("binary"))

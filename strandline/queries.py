@@ -872,3 +872,46 @@ def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = state.windowed_stats(load(spark, sf_dir, "events"), "ts", ["event_type"], F.col("value"), "1 hour", "1 hour")
     return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'view') AS binary_files, count(*) FILTER (event_type <> 'view') AS text_files FROM events GROUP BY 1""")
+def patch_binary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("f"), F.col("event_id").cast("string"))
+    body = F.when(F.col("event_type") == "view", "Binary files a/x and b/x differ\n").otherwise("@@ -1 +1 @@\n-a\n+b\n")
+    part = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n"), body)
+    patches = aggregates.collected(load(spark, sf_dir, "events"), ["user_id"], part, ["event_id"], "patch", "")
+    s = patches.select("user_id", extract.split_binary(F.col("patch")).alias("s"))
+    return s.select("user_id", *[F.size(extract.patch_files(F.col(f"s.{k}"))).cast("long").alias(f"{k}_files") for k in ("binary", "text")])
+
+
+@query("""SELECT o.o_orderkey, (SELECT arg_min(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) FROM lineitem WHERE l_orderkey = o_orderkey) AS flag FROM orders o""")
+def first_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("flag"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("pos"))
+    return joins.first_detail(load(spark, sf_dir, "orders").select("o_orderkey"), details, "o_orderkey", "flag", "pos")
+
+
+@query("""SELECT count(*) AS processed, count(*) FILTER (length(text) > 1000) AS extracted, count(*) FILTER (length(text) < 100) AS skipped, round(100.0 * count(*) FILTER (length(text) > 1000) / count(*), 6)::DOUBLE AS rate FROM documents""")
+def progress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aggregates.progress_counts(load(spark, sf_dir, "documents"), F.length("text") > 1000, F.length("text") < 100)
+    return out.withColumn("rate", F.round("rate", 6))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 15 THEN '10.0.0' WHEN p_size < 30 THEN '20.0.0' ELSE '40.0.0' END AS version FROM part WHERE p_size NOT IN (15, 30)""")
+def nearest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = sorting.nearest_version(F.concat(F.col("p_size").cast("string"), F.lit(".0.0")), [(10, 0, 0), (20, 0, 0), (40, 0, 0)])
+    return load(spark, sf_dir, "part").where("p_size not in (15, 30)").select("p_partkey", version.alias("version"))
+
+
+@query("""SELECT p_partkey, regexp_matches(name, '^(Util|Utils|Helper|Mock)|(Util|Utils|Helper|Mock)$|^I[A-Z][a-z]') AS utility FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Mock' || p_name WHEN 1 THEN p_name || 'Utils' WHEN 2 THEN 'IThing' WHEN 3 THEN 'Item' ELSE p_name END AS name FROM part)""")
+def utility_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 5
+    name = F.when(k == 0, F.concat(F.lit("Mock"), "p_name")).when(k == 1, F.concat("p_name", F.lit("Utils"))).when(k == 2, "IThing").when(k == 3, "Item").otherwise(F.col("p_name"))
+    return load(spark, sf_dir, "part").select("p_partkey", extract.is_utility(name, ("Util", "Utils", "Helper", "Mock")).alias("utility"))
+
+
+@query("""SELECT p_partkey, 'app' || p_size AS modules, 'm' || p_size || '.C' AS tests FROM part""")
+def target_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    module = F.concat(F.lit("app"), F.col("p_size").cast("string"))
+    targets = F.array(F.concat(module, F.lit(":testDebugUnitTest")), F.lit(":test"))
+    tests = extract.inferred_tests(F.array(F.concat(F.lit("m"), F.col("p_size").cast("string"))), F.array(F.lit("C")))
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.modules_of_targets(targets), ",").alias("modules"), F.array_join(tests, ",").alias("tests"))
