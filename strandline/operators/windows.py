@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from strandline.storage import materialise
+
 
 def _over(keys: list[str], order: list[Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -41,13 +43,18 @@ def shards(df: DataFrame, n: int, order: list[Column], name: str = "shard") -> D
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_") -> DataFrame:
-    """Rows with their number, from 1, in a total order: numbers within range partitions plus the counts of those before."""
-    placed = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    counts = placed.groupBy("part_").count()
+    """Rows with their number, from 1, in a total order: places within range partitions plus the counts of those before.
+
+    The range-partitioned rows are written once: another run of the partitioning might put its bounds elsewhere.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    held = materialise(placed, "numbered")  # place_ has the partition above bit 33 and the row's place below
+    part = F.shiftright("place_", 33)
+    counts = held.groupBy(part.alias("part_")).count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("part_", before.alias("start_"))  # a row for each partition
-    within = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return placed.join(F.broadcast(starts), "part_").withColumn(name, F.col("start_") + within).drop("part_", "start_")
+    within = F.col("place_").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.withColumn("part_", part).join(F.broadcast(starts), "part_").withColumn(name, F.col("start_") + within).drop("part_", "start_", "place_")
 
 
 def take_while(df: DataFrame, keys: list[str], order: list[Column], holds: Column, inclusive: bool = False, most: int | None = None) -> DataFrame:

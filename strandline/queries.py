@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.functions import extract, scalars
 from strandline.operators import aggregates, joins, predicates, setops, sorting, transitions, windows
+from strandline.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,11 +28,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints") + f"/strandline-{label}-{uuid.uuid4().hex}"
-
-
 # --- transitions
 
 #: Tests of events: the first two days stand for "pre", the last two for "post".
