@@ -1 +1 @@
-
+"""Functions of columns, and parsers of lines."""

@@ -31,14 +31,17 @@ def every(conditions: list[Column]) -> Column:
 
 
 def typed_filter(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
-    """A condition for each column that exists: a number is equality, a string a regular expression, a pair a closed range."""
+    """A condition for each column that exists: a number is equality, a string a regular expression, a pair a closed range.
+
+    A filter drops rows for which its condition is null, so the conditions stay bare and can be pushed into the scan.
+    """
 
     def one(name: str, value: object) -> Column:
         if isinstance(value, str):
-            return yes(F.col(name).rlike(value))
+            return F.col(name).rlike(value)
         if isinstance(value, tuple):
-            return yes(F.col(name).between(*value))
-        return yes(F.col(name) == value)
+            return F.col(name).between(*value)
+        return F.col(name) == value
 
     return df.where(every([one(k, v) for k, v in conditions.items() if k in df.columns]))
 

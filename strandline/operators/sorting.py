@@ -26,7 +26,8 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: Column |
 
 def remaining_slots(df: DataFrame, keys: list[str], order: list[Column], slots: int, taken: str) -> DataFrame:
     """The best rows of each key for the slots that `taken` leaves, none if it leaves none."""
-    return top_per_key(df, keys, order, F.greatest(F.lit(slots) - F.col(taken), F.lit(0)))
+    best = top_per_key(df, keys, order, slots)  # a constant limit, which cuts rows before the shuffle
+    return best.where(F.col("rank") <= F.greatest(F.lit(slots) - F.col(taken), F.lit(0)))
 
 
 def pick(df: DataFrame, keys: list[str], value: str, priority: list[Column]) -> DataFrame:

@@ -1 +1 @@
-
+"""Reports put together from operators."""
