@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,5 +54,12 @@ def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def with_columns_first(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*[F.col(c) for c in keep])
+_HELD: dict = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing, so that operators that share a worker don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

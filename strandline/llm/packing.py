@@ -9,56 +9,94 @@ partition is left, whose windows are near-equal. Where a window exceeds the capa
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import materialise
+from strandline.llm.common import binary, materialise, worker_cache
 
 CAPACITY, END = 4096, 2
-#: Rests in a group, on average; the distinct words that a worker remembers.
-GROUP, WORDS = 1024, 400_000
+#: Rests in a group, on average; the distinct words that a worker remembers; the bytes of texts that it encodes at once.
+GROUP, WORDS, TEXT_BYTES = 1024, 500_000, 1 << 21
 
 
 class WordCache:
-    """Ids of texts, each word between white space encoded once.
+    """Ids of texts, each distinct word encoded once.
 
-    The tokenizer drops white space and no token or normalisation spans it, so a text's ids are those of its words.
+    Words are what stands between ASCII white space: the tokenizer drops white space, and no token or normalisation spans
+    it. A new word is lower-cased and split as the tokenizer's pattern does it, and parts that are new too are encoded many
+    at once; a part's last token carries the word-end mark. Words with rare characters go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    #: Fixed value: the tokenizer's pattern.
+    PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Characters whose normalisation or class isn't plain, and the begin of special tokens.
+    RARE = re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
+    #: Parts encoded at once.
+    JOINED = 256
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.light = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.light.normalizer = None
+        self.light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, dtype="<u4")
-        self.used = 0
-        self.starts = np.empty(1 << 14, dtype=np.int64)
-        self.sizes = np.empty(1 << 14, dtype=np.int64)
+        self.parts: dict[str, int] = {}  # where a part's ids begin in part_ids, behind their number
+        self.part_ids = array("I")
+        self.flat, self.starts, self.sizes = array("I"), array("I"), array("I")
 
     def learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            ids, n = e.ids, len(self.known)
-            if n == len(self.starts):
-                self.starts, self.sizes = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.sizes[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[w] = n
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.empty(0, dtype="<u4")
+        split: list[list[str] | None] = []
+        for w in words:
+            text = w.decode()
+            split.append(None if self.RARE.search(text) else self.PART.findall(text.lower()))
+        new = list(dict.fromkeys(p for ps in split if ps for p in ps if p not in self.parts))
+        groups = [new[i : i + self.JOINED] for i in range(0, len(new), self.JOINED)]
+        joined = [" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in g]) for g in groups]
+        for group, found in zip(groups, self.light.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = found.ids
+            ends = (np.flatnonzero(self.ends[np.array(ids, dtype=np.int64)]) + 1).tolist() if ids else []
+            if len(ends) == len(group):
+                each = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                each = [self.whole.encode(p, add_special_tokens=False).ids for p in group]
+            for p, found_ids in zip(group, each, strict=True):
+                self.parts[p] = len(self.part_ids)
+                self.part_ids.append(len(found_ids))
+                self.part_ids.extend(found_ids)
+        for w, ps in zip(words, split, strict=True):
+            before = len(self.flat)
+            if ps is None:
+                self.flat.extend(self.whole.encode(w.decode(), add_special_tokens=False).ids)
+            else:
+                for p in ps:
+                    at = self.parts[p]
+                    self.flat.extend(self.part_ids[at + 1 : at + 1 + self.part_ids[at]])
+            self.known[w] = len(self.starts)
+            self.starts.append(before)
+            self.sizes.append(len(self.flat) - before)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end."""
+        docs = [(t or b"").split() for t in texts]
+        words = list(chain.from_iterable(docs))
         at = list(map(self.known.get, words))
         if None in at:
             new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None))
@@ -66,31 +104,38 @@ class WordCache:
                 self.clear()
                 new = list(dict.fromkeys(words))
             self.learn(new)
-            at = [self.known[w] for w in words]
-        index = np.array(at)
-        sizes = self.sizes[index]
+            at = list(map(self.known.get, words))
+        index = np.array(at, dtype=np.int64)
+        sizes = np.array(self.sizes, dtype=np.int64)[index]
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1])]
+        place = np.repeat(np.array(self.starts, dtype=np.int64)[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.array(self.flat, dtype="<u4")[place]
+        return ids, np.concatenate(([0], ends))[np.cumsum([len(d) for d in docs])]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids with `end` behind, cut into windows and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strandline.llm.common import binary
-
-        cache = WordCache(tokenizer_path)
+        cache = worker_cache(("words", tokenizer_path), lambda: WordCache(tokenizer_path))
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(binary(b.column(1))):
-                ids = np.append(cache.encode(text or b""), np.uint32(end)).astype("<u4")
-                for s in range(0, len(ids), capacity):
-                    part = ids[s : s + capacity]
-                    row.append(i)
-                    start.append(s)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    total.append(len(ids))
+            texts, at = binary(b.column(1)), 0
+            while at < len(texts):  # some texts at a time, by size
+                begin, size = at, 0
+                while at < len(texts) and (at == begin or size < TEXT_BYTES):
+                    size += len(texts[at] or b"")
+                    at += 1
+                flat, ends = cache.encode(texts[begin:at])
+                for i, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True), begin):
+                    ids = np.append(flat[a:z], np.uint32(end)).astype("<u4")
+                    for s in range(0, len(ids), capacity):
+                        part = ids[s : s + capacity]
+                        row.append(i)
+                        start.append(s)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        total.append(len(ids))
             columns = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
