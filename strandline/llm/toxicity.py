@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandline.llm.common import binary
+from strandline.llm.common import binary, worker_cache
 
 #: Labelled texts that are learned from, at most: the least by hash of doc_id. Texts, of these, that the last step is fitted on.
 TRAIN_TEXTS, CALIBRATION_TEXTS = 3000, 1000
@@ -31,7 +31,7 @@ GRAMS, CHAR_ROWS, LENGTHS, VOCABULARY = 1 << 18, 1 << 12, (3, 4, 5), 50_000
 STATIC, SHRINK = 5, 4.0
 EPOCHS, BATCH, RATE, FOLDS = 6, 256, 0.02, 4
 #: Words whose inputs a worker remembers, windows scored at once.
-REMEMBERED, AT_ONCE = 300_000, 4096
+REMEMBERED, AT_ONCE = 150_000, 4096
 STRIPPED = b".,;:!?'\"()*#$%&|<>"
 
 _IN = STATIC + WORD_DIM + CHAR_DIM
@@ -43,13 +43,17 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words' character n-grams, and where each word's begin."""
-    flat: list[int] = []
-    starts = []
-    for w in words:
-        starts.append(len(flat))
-        s = b"^" + w + b"$"
-        flat += [zlib.crc32(s[i : i + n]) for n in LENGTHS for i in range(max(1, len(s) - n + 1))]
-    return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
+    parts, sizes = [], []
+    for a in range(0, len(words), AT_ONCE):  # some words at a time: lists of numbers are large
+        flat: list[int] = []
+        for w in words[a : a + AT_ONCE]:
+            before = len(flat)
+            s = b"^" + w + b"$"
+            flat += [zlib.crc32(s[i : i + n]) for n in LENGTHS for i in range(max(1, len(s) - n + 1))]
+            sizes.append(len(flat) - before)
+        parts.append(np.array(flat, dtype=np.uint32))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32), ends - np.array(sizes, dtype=np.int64)
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -148,7 +152,7 @@ class Words:
     def __init__(self, vocabulary: dict[bytes, int]) -> None:
         self.vocabulary = vocabulary
 
-    def inputs(self, words: list[bytes], found: tuple, word_odds: np.ndarray, gram_odds: np.ndarray, p: dict) -> tuple[np.ndarray, tuple]:
+    def inputs(self, words: list[bytes], found: tuple, word_odds: np.ndarray, gram_odds: np.ndarray, p: dict) -> np.ndarray:
         """found: grams_of(words)."""
         number = np.array([self.vocabulary.get(w, 0) for w in words])
         grams, starts = found
@@ -163,7 +167,7 @@ class Words:
         x[:, STATIC : STATIC + WORD_DIM] = p["word"][number]
         rows = grams % CHAR_ROWS
         x[:, STATIC + WORD_DIM :] = np.add.reduceat(p["char"][rows], starts) / sizes[:, None]
-        return x, (number, rows, starts, sizes)
+        return x
 
 
 def _index(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,21 +226,30 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     chosen = [int(i) for i in np.lexsort((np.arange(len(words)), -np.abs(all_odds))) if often[i] >= 2][:VOCABULARY]
     vocabulary = {words[i]: k + 1 for k, i in enumerate(chosen)}
     p = init(rng, len(vocabulary))
-    source, gram_starts = Words(vocabulary), starts
+    source = Words(vocabulary)
 
-    def table(skip: int | None) -> tuple[np.ndarray, tuple]:
+    def inputs(skip: int | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Where some words begin and their inputs, block by block, with the log-odds of all folds but one."""
         w, g = odds(skip)
-        return source.inputs(words, (grams, gram_starts), np.concatenate(([0], w[chosen])).astype(np.float32), g, p)
+        w = np.concatenate(([0], w[chosen])).astype(np.float32)
+        for a in range(0, len(words), AT_ONCE):
+            b = min(len(words), a + AT_ONCE)
+            own = grams[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+            yield a, source.inputs(words[a:b], own, w, g, p)
 
-    tables = [table(f) for f in range(FOLDS)]
-    _, (vocab_of, rows, starts, sizes_) = tables[0]
+    static = np.empty((FOLDS, len(words), STATIC), dtype=np.float32)
+    for f in range(FOLDS):
+        for a, x in inputs(f):
+            static[f, a : a + len(x)] = x[:, :STATIC]
+    vocab_of = np.array([vocabulary.get(w, 0) for w in words])
+    rows, sizes_ = (grams % CHAR_ROWS).astype(np.uint16), ends - starts
     # windows that are learned from: of a toxic text the most suspect one, of a clean one the most suspect and two by chance
     picked, target, of_fold = [], [], []
     for k, ids in enumerate(docs):
         index, _ = _index([ids])
         if not len(index):
             continue
-        x = tables[fold[k]][0]
+        x = static[fold[k]]
         suspect = np.where(index >= 0, np.maximum(x[index, 0], 0) + np.maximum(x[index, 1], 0), 0).sum(axis=1)
         best = [int(suspect.argmax())]
         if not labels[k]:
@@ -247,7 +260,6 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     if not picked or len(set(target)) < 2:
         return {"rate": float(rate)}
     picked, target, of_fold = np.concatenate(picked), np.array(target, dtype=np.float32), np.array(of_fold)
-    static = np.stack([t[0][:, :STATIC] for t in tables])
     balance = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
@@ -294,8 +306,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
         mine = [k for k in np.flatnonzero(fold == f)[: CALIBRATION_TEXTS // FOLDS] if len(docs[k])]
         if mine:
             index, owner = _index([docs[k] for k in mine])
-            x = table(f)[0]
-            top = _highest(_logits(p, input_sums(p, x), index), owner, len(mine))
+            sums = np.empty((2, len(words), 3 * HIDDEN), dtype=np.float32)
+            for a, x in inputs(f):
+                sums[:, a : a + len(x)] = input_sums(p, x)
+            top = _highest(_logits(p, sums, index), owner, len(mine))
             features += list(zip(top, np.log(np.bincount(owner, minlength=len(mine))), strict=True))
             goal += list(labels[mine])
     final = _calibrate(np.array(features), np.array(goal, dtype=float))
@@ -346,16 +360,17 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((2, 1 << 15, 3 * HIDDEN), dtype=np.float32)
+        self.sums = np.zeros((2, 0, 3 * HIDDEN), dtype=np.float32)
 
     def learn(self, words: list[bytes]) -> None:
         m = self.model
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        for a in range(0, len(words), AT_ONCE):
+            part = words[a : a + AT_ONCE]
             n = len(self.known)
-            while n + len(part) > self.sums.shape[1]:
-                self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)), axis=1)
-            x, _ = self.words.inputs(part, grams_of(part), m["word_odds"], m["gram_odds"], m["p"])
+            if n + len(part) > self.sums.shape[1]:
+                more = max(REMEMBERED - n, len(part))  # pages that aren't touched take no memory
+                self.sums = np.concatenate((self.sums[:, :n], np.zeros((2, more, 3 * HIDDEN), dtype=np.float32)), axis=1)
+            x = self.words.inputs(part, grams_of(part), m["word_odds"], m["gram_odds"], m["p"])
             self.sums[:, n : n + len(part)] = input_sums(m["p"], x)
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
 
@@ -401,6 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
         rows = []
         for b in batches:
             rows += zip(b.column(0).to_pylist(), binary(b.column(1)), b.column(2).to_pylist(), strict=True)
+        worker_cache(("train",), lambda: None)  # room: what the worker has kept goes
         rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or b""))
         rows = rows[:most]
         model = train([r[1] or b"" for r in rows], np.array([r[2] for r in rows]))
@@ -417,14 +433,15 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFr
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        blob = model.value
+        scorer = worker_cache(("scorer", zlib.crc32(blob)), lambda: Scorer(pickle.loads(blob)))
         for b in batches:
             texts = binary(b.column(at))
             found: list[np.ndarray] = []
             begin = size = 0
             for i, t in enumerate(texts):
                 size += len(t or b"")
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     found.append(scorer.scores(texts[begin : i + 1]))
                     begin, size = i + 1, 0
             found.append(scorer.scores(texts[begin:]))
@@ -449,15 +466,3 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below 0.5."""
     return _scored(docs, labels, label, most).where("score_ < 0.5").drop("score_")
-
-
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(model: bytes) -> Scorer:
-    """The worker's scorer of this model, kept from task to task with the words that it has met."""
-    key = zlib.crc32(model)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(pickle.loads(model))
-    return _SCORERS[key]
