@@ -4,15 +4,17 @@ Legal conversations run through a small automaton: a system turn may come first,
 and the last is an assistant's. Dynamic programming over this automaton gives each message the role that it is rendered
 with, merges it with the turn before it, or puts empty turns between, at the least sum of costs. A message's costs are a
 matrix from state to state, and costs of runs of messages are products of these in (min, +), which is associative: the
-messages of all conversations are dealt to segments in order, each segment gives one matrix for each of its conversations,
-the few matrices of a conversation settle the state in which each segment begins and ends, and then each segment is solved
-on its own. A conversation of any length is so repaired in parallel.
+messages of all conversations are dealt to segments in order, each segment gives matrices for its conversations,
+the few matrices of a conversation settle the state in which each segment begins and ends (only a segment's first and last
+conversation can go on in another), and then each segment is solved on its own. A conversation of any length is so repaired in parallel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.common import materialise
@@ -23,6 +25,8 @@ STATES = ("none", "system", "user", "assistant")
 MERGE, INSERT, RELABEL = 1.0, 3.0, 2.0
 OPEN, CLOSE, JOIN = "<|{role}|>\n", "<|end|>\n", "\n\n"
 INF = float("inf")
+#: Rows of an output batch.
+ROWS = 4096
 
 
 def _path(before: int, role: int) -> list[int] | None:
@@ -70,18 +74,34 @@ def run_matrix(classes: np.ndarray) -> np.ndarray:
     return m[0]
 
 
-def choose(classes: np.ndarray, begin: int, end: int) -> list[int]:
-    """The states behind each message on the cheapest path from begin to end; of equal paths that with the least states, last first."""
-    best = np.full(4, INF)
+_COST = COST.tolist()
+_ENDING = ENDING.tolist()
+
+
+def choose(classes: list[int], begin: int, end: int | None) -> list[int]:
+    """The states behind each message on the cheapest path from begin to end, or to the end that is cheapest to close.
+
+    Of equal paths it is that with the least states, last first.
+    """
+    best = [INF] * 4
     best[begin] = 0.0
     back = []
     for c in classes:
-        step = best[:, None] + COST[c]
-        back.append(step.argmin(axis=0))
-        best = step.min(axis=0)
+        step, new, source = _COST[c], [INF] * 4, [0] * 4
+        for before in range(4):
+            at = best[before]
+            if at < INF:
+                for role in (1, 2, 3):
+                    x = at + step[before][role]
+                    if x < new[role]:
+                        new[role], source[role] = x, before
+        best = new
+        back.append(source)
+    if end is None:
+        end = min(range(4), key=lambda k: best[k] + _ENDING[k])
     states = [end]
-    for b in back[:0:-1]:
-        states.append(int(b[states[-1]]))
+    for source in back[:0:-1]:
+        states.append(source[states[-1]])
     return states[::-1]
 
 
@@ -140,29 +160,83 @@ def repair(messages: DataFrame) -> DataFrame:
     dealt = base.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = materialise(dealt.select("*", F.spark_partition_id().alias("segment"), F.monotonically_increasing_id().alias("place")), "messages")
 
-    def matrices(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = run_matrix(pdf.sort_values("place")["class"].to_numpy())
-        return pd.DataFrame({"conv_id": [key[0]], "segment": [key[1]], "matrix": [m.ravel().tolist()]})
-
-    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment", ignore_index=True)
-        found = settle([np.array(m).reshape(4, 4) for m in pdf["matrix"]])
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "segment": pdf["segment"], "begin": [b for b, _ in found], "end": [e for _, e in found], "last": pdf.index == len(pdf) - 1})
-
-    def solve(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place", ignore_index=True)
-        s = state.iloc[0]
-        states = choose(rows["class"].to_numpy(), int(s["begin"]), int(s["end"]))
-        out, before = [], int(s["begin"])
-        for i, (now, text) in enumerate(zip(states, rows["text"], strict=True)):
-            out.append(_render(before, now, text, bool(s["last"]) and i == len(states) - 1))
-            before = now
-        rows["rendered"], rows["inserted"], rows["merged"] = [list(x) for x in zip(*out, strict=True)]
-        rows["role_out"] = [STATES[x] for x in states]
-        return rows[["conv_id", "turn", "place", "role", "role_out", "merged", "inserted", "rendered"]]
-
-    keys = ["conv_id", "segment"]
-    small = dealt.select(*keys, "place", "class").groupBy(*keys).applyInPandas(matrices, "conv_id long, segment int, matrix array<double>")
-    state = materialise(small.groupBy("conv_id").applyInPandas(ends, "conv_id long, segment int, begin int, end int, last boolean"), "states")
+    def ordered(*columns: str) -> DataFrame:
+        return dealt.select(*columns).repartition("segment").sortWithinPartitions("segment", "place")
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the first and the last conversation of each segment, the only ones that others can share, their matrices."""
+        held: list[tuple] = []  # of the segment at hand: the first conversation, and the last so far
+        out: list[tuple] = []
+        for segment, conv, columns in _conversations(batches):
+            if held and held[0][0] != segment:
+                out += held
+                held = []
+            held = [*held[:1], (segment, conv, columns["class"])]
+        rows = [(segment, conv, run_matrix(np.array(classes)).ravel().tolist()) for segment, conv, classes in out + held]
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["segment", "conv_id", "matrix"])
+
+    # two rows of a segment at most, so as many as there are tasks; they settle on the driver
+    edges: dict = {}
+    for r in ordered("segment", "place", "conv_id", "class").mapInArrow(matrices, "segment int, conv_id long, matrix array<double>").collect():
+        edges.setdefault(r["conv_id"], []).append((r["segment"], r["matrix"]))
+    states: dict = {}
+    for conv, parts in edges.items():
+        parts.sort(key=lambda p: p[0])
+        found = settle([np.array(m).reshape(4, 4) for _, m in parts])
+        for i, ((segment, _), (begin, end)) in enumerate(zip(parts, found, strict=True)):
+            states[segment, conv] = (begin, end, i == len(parts) - 1)
+
+    names = ["conv_id", "turn", "place", "role", "role_out", "merged", "inserted", "rendered"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in names}
+        for segment, conv, columns in _conversations(batches):
+            begin, end, last = states.get((segment, conv), (0, None, True))
+            found = choose(columns["class"], begin, end)
+            before = begin
+            for i, (now, text) in enumerate(zip(found, columns["text"], strict=True)):
+                rendered, inserted, merged = _render(before, now, text, last and i == len(found) - 1)
+                held["rendered"].append(rendered)
+                held["inserted"].append(inserted)
+                held["merged"].append(merged)
+                held["role_out"].append(STATES[now])
+                before = now
+            held["conv_id"] += [conv] * len(found)
+            for n in ("turn", "place", "role"):
+                held[n] += columns[n]
+            if len(held["place"]) >= ROWS:
+                yield _batch(held)
+                held = {n: [] for n in names}
+        if held["place"]:
+            yield _batch(held)
+
     schema = "conv_id long, turn long, place long, role string, role_out string, merged boolean, inserted long, rendered string"
-    return dealt.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(solve, schema)
+    return ordered("segment", "place", "conv_id", "turn", "role", "text", "class").mapInArrow(solve, schema)
+
+
+def _batch(held: dict[str, list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(held.values(), kinds, strict=True)], names=list(held))
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, dict[str, list]]]:
+    """(segment, conv_id, columns) of each run of rows of one segment and conversation."""
+    key, held = None, None
+    for b in batches:
+        columns = {n: b.column(n).to_pylist() for n in b.schema.names}
+        keys = list(zip(columns["segment"], columns["conv_id"], strict=True))
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != key:
+                if held is not None:
+                    yield (*key, held)
+                key, held = keys[at], {n: [] for n in columns}
+            for n, v in columns.items():
+                held[n] += v[at:end]
+            at = end
+    if held is not None:
+        yield (*key, held)
