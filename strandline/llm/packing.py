@@ -28,6 +28,19 @@ CAPACITY, END = 4096, 2
 GROUP, WORDS, TEXT_BYTES = 1024, 500_000, 1 << 21
 
 
+def _append(ids: array, starts: array, sizes: array, more: np.ndarray, each: np.ndarray) -> None:
+    starts.frombytes((len(ids) + np.cumsum(each) - each).astype("<u4").tobytes())
+    sizes.frombytes(each.astype("<u4").tobytes())
+    ids.frombytes(more.tobytes())
+
+
+def _gather(ids: array, starts: array, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of entries, one after another."""
+    ends = np.cumsum(sizes)
+    place = np.repeat(np.array(starts, dtype=np.int64)[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return np.array(ids, dtype="<u4")[place]
+
+
 class WordCache:
     """Ids of texts, each distinct word encoded once.
 
@@ -58,44 +71,59 @@ class WordCache:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, int] = {}  # where a part's ids begin in part_ids, behind their number
-        self.part_ids = array("I")
+        self.parts: dict[str, int] = {}
+        self.part_ids, self.part_starts, self.part_sizes = array("I"), array("I"), array("I")
         self.flat, self.starts, self.sizes = array("I"), array("I"), array("I")
 
-    def learn(self, words: list[bytes]) -> None:
-        split: list[list[str] | None] = []
-        for w in words:
-            text = w.decode()
-            split.append(None if self.RARE.search(text) else self.PART.findall(text.lower()))
-        new = list(dict.fromkeys(p for ps in split if ps for p in ps if p not in self.parts))
-        groups = [new[i : i + self.JOINED] for i in range(0, len(new), self.JOINED)]
+    def split(self, word: bytes) -> list[str]:
+        """A word's parts; one with rare characters is a part of its own, marked."""
+        text = word.decode()
+        core = text.rstrip(".,")
+        low = core.lower()
+        if low.isalpha() and (low.isascii() or not self.RARE.search(core)):  # letters, and a part of stops behind them
+            return [low] if len(core) == len(text) else [low, text[len(core) :]]
+        return ["\0" + text] if self.RARE.search(text) else self.PART.findall(text.lower())
+
+    def learn_parts(self, parts: list[str]) -> None:
+        plain = [p for p in parts if p[0] != "\0"]
+        groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
         joined = [" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in g]) for g in groups]
+        ids, sizes = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
         for group, found in zip(groups, self.light.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = found.ids
-            ends = (np.flatnonzero(self.ends[np.array(ids, dtype=np.int64)]) + 1).tolist() if ids else []
+            own = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[own]) + 1
             if len(ends) == len(group):
-                each = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                ids.append(own)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                each = [self.whole.encode(p, add_special_tokens=False).ids for p in group]
-            for p, found_ids in zip(group, each, strict=True):
-                self.parts[p] = len(self.part_ids)
-                self.part_ids.append(len(found_ids))
-                self.part_ids.extend(found_ids)
-        for w, ps in zip(words, split, strict=True):
-            before = len(self.flat)
-            if ps is None:
-                self.flat.extend(self.whole.encode(w.decode(), add_special_tokens=False).ids)
-            else:
-                for p in ps:
-                    at = self.parts[p]
-                    self.flat.extend(self.part_ids[at + 1 : at + 1 + self.part_ids[at]])
-            self.known[w] = len(self.starts)
-            self.starts.append(before)
-            self.sizes.append(len(self.flat) - before)
+                self._add_whole(group, ids, sizes, group)
+        rare = [p for p in parts if p[0] == "\0"]
+        self._add_whole(rare, ids, sizes, [p[1:] for p in rare])
+        self.parts.update(zip(plain + rare, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
+        _append(self.part_ids, self.part_starts, self.part_sizes, np.concatenate(ids), np.concatenate(sizes))
+
+    def _add_whole(self, parts: list[str], ids: list, sizes: list, texts: list[str]) -> None:
+        each = [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
+        ids += each
+        sizes.append(np.array([len(x) for x in each], dtype=np.int64))
+
+    def learn(self, words: list[bytes]) -> None:
+        split = [self.split(w) for w in words]
+        flat = list(chain.from_iterable(split))
+        if new := list(dict.fromkeys(p for p in flat if p not in self.parts)):
+            self.learn_parts(new)
+        at = np.array([self.parts[p] for p in flat], dtype=np.int64)
+        part_sizes = np.array(self.part_sizes, dtype=np.int64)[at]
+        ids = _gather(self.part_ids, self.part_starts, at, part_sizes)
+        ends = np.concatenate(([0], np.cumsum(part_sizes)))
+        bounds = ends[np.concatenate(([0], np.cumsum([len(s) for s in split])))]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        _append(self.flat, self.starts, self.sizes, ids, np.diff(bounds))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's end."""
-        docs = [(t or b"").split() for t in texts]
+        # ASCII letters can be lower-cased here, but not into a special token
+        docs = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         words = list(chain.from_iterable(docs))
         at = list(map(self.known.get, words))
         if None in at:
@@ -108,9 +136,7 @@ class WordCache:
         index = np.array(at, dtype=np.int64)
         sizes = np.array(self.sizes, dtype=np.int64)[index]
         ends = np.cumsum(sizes)
-        place = np.repeat(np.array(self.starts, dtype=np.int64)[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        ids = np.array(self.flat, dtype="<u4")[place]
-        return ids, np.concatenate(([0], ends))[np.cumsum([len(d) for d in docs])]
+        return _gather(self.flat, self.starts, index, sizes), np.concatenate(([0], ends))[np.cumsum([len(d) for d in docs])]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
