@@ -71,3 +71,12 @@ def test_edges(spark, rows):
     assert len(out) == len(rows)
     assert pii.redact(docs).columns == docs.columns
     assert pii.redact(docs).count() == len(rows)
+
+
+def test_long_secrets_are_spans(spark):
+    from pyspark.sql import functions as F
+
+    keys = ["0a1b2c3d" * 4, "0a1b2c3d" * 32, "0a1b2c3d" * 20000, "abcdefgh" * 40]
+    docs = spark.createDataFrame([(i, f"secret key {k} end") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["s"]] for r in docs.select("doc_id", pii._spans(F.col("text"), "secret").alias("s")).collect()}
+    assert got == {0: [(11, 43)], 1: [(11, 267)], 2: [(11, 160011)], 3: []}
