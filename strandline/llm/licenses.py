@@ -3,10 +3,13 @@
 A text is brought into a canonical form: lower case, copyright lines taken out, equivalent spellings made one, and all but
 letters and digits turned into single spaces. The digest of the whole form is hash-joined to the digests of known licence
 texts; so is the digest of each paragraph and of each line, which finds licences that stand inside other text.
+Whole licences of several paragraphs are also found as runs of words, in a form that loses only copyright statements.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Equivalent spellings, as in the SPDX matching guidelines. Each left one becomes the right one.
@@ -25,6 +28,11 @@ SPELLINGS = (
 )
 #: A line that only states whose copyright it is.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that states a copyright: with a sign, a year or a holder, and not a wrapped line of a licence.
+COPYRIGHT_STATEMENT = (
+    r"(?m)^[ \t/*#;-]*(?:(?:(?i:copyright)[ \t:]*)?(?:(?i:\(c\))|©)[^\n]*|(?i:copyright)[ \t:]*(?:[12][0-9]{3}\b|[<\[{]\w)[^\n]*"
+    r"|(?i:copyright)[ \t]+(?i:by)\b[^\n]*|(?:Copyright|COPYRIGHT)[ \t:]+\p{Lu}\p{Ll}[^\n]*|(?i:all rights reserved)[.!]?[ \t\r]*)$"
+)
 #: Paragraphs and lines of fewer words than this are no licence.
 LEAST_WORDS = 4
 
@@ -67,9 +75,49 @@ KNOWN = (
 )
 
 
+BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: Whole licences that are also looked for inside texts; those of several pages are files.
+WHOLE = (
+    ("MIT", MIT), ("ISC", ISC), ("0BSD", ZERO_BSD), ("Zlib", ZLIB), ("Apache-2.0", APACHE_NOTICE), ("Unlicense", UNLICENSE), ("BSL-1.0", BSL),
+    *(("BSD-2-Clause", BSD_HEAD.format(*m) + BSD_WARRANTY) for m in (("1. ", "2. "), ("* ", "* "))),
+    *(("BSD-3-Clause", BSD_HEAD.format(*m) + m[2] + BSD_NAMES + BSD_WARRANTY) for m in (("1. ", "2. ", "3. "), ("* ", "* ", "* "))),
+    *((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
+)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form. Spellings are replaced in whole words; of two that overlap the first in SPELLINGS wins."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    return _spelled(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "))
+
+
+def strict(text: Column) -> Column:
+    """The canonical form, but that only copyright statements are taken out."""
+    return _spelled(F.lower(F.regexp_replace(text, COPYRIGHT_STATEMENT, " ")))
+
+
+def _spelled(plain: Column) -> Column:
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS:
         plain = F.replace(plain, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -89,26 +137,56 @@ def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     return listed.groupBy(digest(F.col("known_text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def lookup(docs: DataFrame, known: tuple = KNOWN) -> DataFrame:
+def known_runs(spark: SparkSession, whole: tuple) -> list[tuple[str, str]]:
+    """(license, strict form) of each text."""
+    if not whole:
+        return []
+    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in whole])
+    listed = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", strict(F.col("k.text")).alias("form"))
+    return [(r["license"], r["form"]) for r in listed.collect()]
+
+
+def lookup(docs: DataFrame, known: tuple = KNOWN, whole: tuple = WHOLE) -> DataFrame:
     """docs(doc_id, text, ...): returns (doc_id, digest, license, part_licenses, n_parts) for each row of docs.
 
     digest is the whole text's; license is that of a known text with the same digest, else null. part_licenses lists the
     licences, sorted and comma-joined, of the paragraphs and lines of at least LEAST_WORDS words that are known texts, and
     n_parts counts these. Null and empty texts have the digest of the empty form and no licence. Repeated rows each count;
     other columns are ignored. Known texts are a fixed table of a few kB; it is broadcast.
+
+    A text without a licence so far has that of `whole` whose strict form is its own; else those of `whole` that its
+    strict form has as a run of words count as parts.
     """
     table = known_digests(docs.sparkSession, known)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # only lines that can be known are digested: the canonical form of each known text has one of these words
     parts = F.array_distinct(F.concat(F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))
     likely = F.filter(parts, lambda p: p.rlike(r"(?i)licen[cs]e|permission|warrant|software"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), likely.alias("parts"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), likely.alias("parts"), _runs(text, known_runs(docs.sparkSession, whole)).alias("runs"))
     canon = F.filter(F.transform("parts", canonical), lambda c: F.size(F.split(c, " ")) >= LEAST_WORDS)
-    hashed = base.select("doc_id", "digest", F.transform(F.array_distinct(canon), lambda c: F.sha2(c.cast("binary"), 256)).alias("parts"))
+    hashed = base.select("doc_id", "digest", "runs", F.transform(F.array_distinct(canon), lambda c: F.sha2(c.cast("binary"), 256)).alias("parts"))
     entries = [F.lit(v) for r in table.collect() for v in (r["digest"], r["license"])]
     index = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(None).cast("string"))
-    whole = hashed.join(F.broadcast(table), "digest", "left")
-    found = whole.withColumn("hits", F.filter(F.transform("parts", lambda d: F.try_element_at(index, d)), lambda x: x.isNotNull()))
+    joined = hashed.join(F.broadcast(table), "digest", "left")
+    found = joined.withColumn("hits", F.filter(F.transform("parts", lambda d: F.try_element_at(index, d)), lambda x: x.isNotNull()))
+    found = found.withColumn("inside", F.when(F.col("license").isNull() & F.col("runs.equal").isNull(), F.array_except("runs.inside", "hits")).otherwise(F.expr("cast(array() as array<string>)")))
+    hits = F.concat("hits", "inside")
     return found.select(
-        "doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("part_licenses"), F.size("hits").cast("long").alias("n_parts")
+        "doc_id", "digest", F.coalesce("license", "runs.equal").alias("license"), F.array_join(F.array_sort(F.array_distinct(hits)), ",").alias("part_licenses"), F.size(hits).cast("long").alias("n_parts")
+    )
+
+
+def _runs(text: Column, forms: list[tuple[str, str]]) -> Column:
+    """A struct: equal, the licence whose form is the text's; inside, those whose forms are runs of its words."""
+    none = F.expr("cast(named_struct('equal', null, 'inside', array()) as struct<equal:string,inside:array<string>>)")
+    if not forms:
+        return none
+    form = F.array(strict(text))
+    given = F.transform(
+        form,
+        lambda f: F.struct(
+            F.coalesce(*[F.when(f == F.lit(t), F.lit(k)) for k, t in forms]).alias("equal"),
+            F.array_distinct(F.array_compact(F.array(*[F.when(F.concat(F.lit(" "), f, F.lit(" ")).contains(F.lit(f" {t} ")), F.lit(k)) for k, t in forms]))).alias("inside"),
+        ),
     )
+    return F.when(text.rlike(r"(?i)licen[cs]e|permission|redistribution|software"), given[0]).otherwise(none)

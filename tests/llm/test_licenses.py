@@ -32,3 +32,23 @@ def test_edges(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
     assert licenses.lookup(docs).count() == len(rows)
     assert licenses.lookup(docs, known=()).count() == len(rows)
+
+
+def test_standard_wrapped_forms(spark):
+    import textwrap
+
+    def wrapped(text, width=72, mark=""):
+        return "\n\n".join("\n".join(mark + x for x in textwrap.wrap(p, width)) for p in text.split("\n\n"))
+
+    isc = wrapped(licenses.ISC).replace("that the above\ncopyright", "that the above copyright").replace("above copyright notice", "above\ncopyright notice")
+    long = [(k, t) for k, t in licenses.WHOLE if k not in ("MIT", "ISC")]
+    texts = [isc, "Copyright (c) 2020, A B\nAll rights reserved.\n\n" + isc] + [t for _, t in long] + ["Copyright The Authors\n\n" + wrapped(t, 60, "# ") for k, t in long if k.startswith("BSD")]
+    got = found(spark, texts)
+    assert [got[i]["license"] for i in range(len(texts))] == ["ISC", "ISC", *(k for k, _ in long), *(k for k, _ in long if k.startswith("BSD"))]
+
+
+def test_whole_licences_inside_a_text(spark):
+    gpl = dict(licenses.WHOLE)["GPL-3.0"]
+    texts = ["A project.\n\nCopyright 2021 X\n\n" + licenses.MIT + "\n\nThe end.", "Read me\n\n" + gpl + "\n\n" + licenses.ISC, "Read me\n\n" + licenses.MIT[:-9]]
+    got = found(spark, texts)
+    assert [(got[i]["license"], got[i]["part_licenses"], got[i]["n_parts"]) for i in range(3)] == [(None, "MIT", 1), (None, "GPL-3.0,ISC", 2), (None, "", 0)]
