@@ -18,14 +18,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import binary, materialise, worker_cache
+from strandline.llm.common import materialise, worker_cache
 
 CAPACITY, END = 4096, 2
-#: Rests in a group, on average; the distinct words that a worker remembers; the bytes of texts that it encodes at once.
-GROUP, WORDS, TEXT_BYTES = 1024, 500_000, 1 << 21
+#: Rests in a group, on average; the distinct parts of words that a worker remembers; the bytes of texts that it encodes at once.
+GROUP, PARTS, TEXT_BYTES = 1024, 600_000, 1 << 23
 
 
 def _append(ids: array, starts: array, sizes: array, more: np.ndarray, each: np.ndarray) -> None:
@@ -34,15 +35,15 @@ def _append(ids: array, starts: array, sizes: array, more: np.ndarray, each: np.
     ids.frombytes(more.tobytes())
 
 
-def _gather(ids: array, starts: array, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _gather(ids: array | np.ndarray, starts: array | np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The ids of entries, one after another."""
     ends = np.cumsum(sizes)
-    place = np.repeat(np.array(starts, dtype=np.int64)[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-    return np.array(ids, dtype="<u4")[place]
+    place = np.repeat(np.asarray(starts, dtype=np.int64)[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return np.asarray(ids, dtype="<u4")[place]
 
 
 class WordCache:
-    """Ids of texts, each distinct word encoded once.
+    """Ids of texts, each distinct word encoded once. Arrow splits texts into words and numbers them.
 
     Words are what stands between ASCII white space: the tokenizer drops white space, and no token or normalisation spans
     it. A new word is lower-cased and split as the tokenizer's pattern does it, and parts that are new too are encoded many
@@ -53,6 +54,8 @@ class WordCache:
     PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Characters whose normalisation or class isn't plain, and the begin of special tokens.
     RARE = re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
+    #: The same among letters, for Arrow's patterns, and the one whose lower case is two; signs that may stand behind a word's letters and are one part there.
+    RARE_LETTER, SIGNS = r"[^\x{21}-\x{7e}\x{a1}-\x{12f}\x{131}-\x{24f}]", ".,;:!?%&$#*|<>()\"-"
     #: Parts encoded at once.
     JOINED = 256
 
@@ -70,22 +73,16 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: dict[str, int] = {}
-        self.part_ids, self.part_starts, self.part_sizes = array("I"), array("I"), array("I")
+        self.held = pa.array([], pa.string())
         self.flat, self.starts, self.sizes = array("I"), array("I"), array("I")
 
-    def split(self, word: bytes) -> list[str]:
-        """A word's parts; one with rare characters is a part of its own, marked."""
-        text = word.decode()
-        core = text.rstrip(".,")
-        low = core.lower()
-        if low.isalpha() and (low.isascii() or not self.RARE.search(core)):  # letters, and a part of stops behind them
-            return [low] if len(core) == len(text) else [low, text[len(core) :]]
-        return ["\0" + text] if self.RARE.search(text) else self.PART.findall(text.lower())
-
-    def learn_parts(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p[0] != "\0"]
+    def split(self, word: str) -> list[str]:
+        """A word's parts; one with rare characters is a part of its own, marked. An empty word has none."""
+        return ["\0" + word] if self.RARE.search(word) else self.PART.findall(word.lower())
+
+    def learn(self, parts: list[str]) -> None:
+        """New parts, once each."""
+        plain = [p for p in parts if p and p[0] != "\0"]
         groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
         joined = [" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in g]) for g in groups]
         ids, sizes = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
@@ -97,46 +94,78 @@ class WordCache:
                 sizes.append(np.diff(ends, prepend=0))
             else:
                 self._add_whole(group, ids, sizes, group)
-        rare = [p for p in parts if p[0] == "\0"]
+        rare = [p for p in parts if p and p[0] == "\0"]
         self._add_whole(rare, ids, sizes, [p[1:] for p in rare])
-        self.parts.update(zip(plain + rare, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
-        _append(self.part_ids, self.part_starts, self.part_sizes, np.concatenate(ids), np.concatenate(sizes))
+        empty = [p for p in parts if not p]  # behind a word without signs, and between white space
+        sizes.append(np.zeros(len(empty), dtype=np.int64))
+        self.held = pa.concat_arrays([self.held, pa.array(plain + rare + empty, pa.string())])
+        _append(self.flat, self.starts, self.sizes, np.concatenate(ids), np.concatenate(sizes))
 
     def _add_whole(self, parts: list[str], ids: list, sizes: list, texts: list[str]) -> None:
         each = [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
         ids += each
         sizes.append(np.array([len(x) for x in each], dtype=np.int64))
 
-    def learn(self, words: list[bytes]) -> None:
-        split = [self.split(w) for w in words]
-        flat = list(chain.from_iterable(split))
-        if new := list(dict.fromkeys(p for p in flat if p not in self.parts)):
-            self.learn_parts(new)
-        at = np.array([self.parts[p] for p in flat], dtype=np.int64)
-        part_sizes = np.array(self.part_sizes, dtype=np.int64)[at]
-        ids = _gather(self.part_ids, self.part_starts, at, part_sizes)
-        ends = np.concatenate(([0], np.cumsum(part_sizes)))
-        bounds = ends[np.concatenate(([0], np.cumsum([len(s) for s in split])))]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        _append(self.flat, self.starts, self.sizes, ids, np.diff(bounds))
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and where each text's end."""
-        # ASCII letters can be lower-cased here, but not into a special token
-        docs = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        words = list(chain.from_iterable(docs))
-        at = list(map(self.known.get, words))
-        if None in at:
-            new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None))
-            if len(self.known) + len(new) > WORDS:
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of parts, new ones learned."""
+        coded = parts.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.held)
+        if at.null_count:
+            new = coded.dictionary.filter(at.is_null())
+            if len(self.held) + len(new) > PARTS:
                 self.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-            at = list(map(self.known.get, words))
-        index = np.array(at, dtype=np.int64)
-        sizes = np.array(self.sizes, dtype=np.int64)[index]
+                new = coded.dictionary
+            self.learn(new.to_pylist())
+            at = pc.index_in(coded.dictionary, value_set=self.held)
+        return at.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+
+    def parts_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of words, one word after another, and how many a word has.
+
+        Words of plain letters and signs behind them are split as whole columns, the others one by one.
+        """
+        core = pc.utf8_rtrim(words, self.SIGNS)
+        plain = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring_regex(core, self.RARE_LETTER))
+        own, core, rest = words.filter(plain), pc.utf8_lower(core.filter(plain)), words.filter(pc.invert(plain)).to_pylist()
+        split = [self.split(w) for w in rest]
+        number = self.numbers(pa.concat_arrays([core, _behind(own, core), pa.array(list(chain.from_iterable(split)), pa.string())]))
+        n, mask = len(own), plain.to_numpy(zero_copy_only=False)
+        each = np.full(len(words), 2)
+        each[~mask] = [len(x) for x in split]
+        place = np.cumsum(each) - each
+        out = np.empty(int(each.sum()), dtype=np.int64)
+        out[place[mask]], out[place[mask] + 1] = number[:n], number[n : 2 * n]
+        out[np.repeat(~mask, each)] = number[2 * n :]
+        return out, each
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end. Each distinct word is looked at once."""
+        # ASCII letters can be lower-cased here, but not into a special token
+        special = pc.match_substring(texts, "<|")
+        lower = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(lower.cast(pa.large_string()))
+        coded = lists.flatten().cast(pa.string()).dictionary_encode()
+        parts, each = self.parts_of(coded.dictionary)
+        part_sizes = np.array(self.sizes, dtype=np.int64)[parts]
+        ids = _gather(self.flat, self.starts, parts, part_sizes)
+        bounds = np.concatenate(([0], np.cumsum(part_sizes)))[np.concatenate(([0], np.cumsum(each)))]
+        index = coded.indices.to_numpy()
+        sizes = np.diff(bounds)[index]
         ends = np.cumsum(sizes)
-        return _gather(self.flat, self.starts, index, sizes), np.concatenate(([0], ends))[np.cumsum([len(d) for d in docs])]
+        words = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        return _gather(ids, bounds[:-1], index, sizes), np.concatenate(([0], ends))[np.cumsum(words)]
+
+
+def _behind(words: pa.Array, core: pa.Array) -> pa.Array:
+    """What each word has behind its first characters, which are as many bytes as those of `core`."""
+    total, own = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, core))
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words)] if len(words) else np.empty(0, np.int32)
+    more = total - own
+    ends = np.cumsum(more)
+    place = np.repeat(offsets + own - ends + more, more) + np.arange(ends[-1] if len(ends) else 0)
+    at = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(at), pa.py_buffer(data[place].tobytes())])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -146,13 +175,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
         cache = worker_cache(("words", tokenizer_path), lambda: WordCache(tokenizer_path))
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
-            texts, at = binary(b.column(1)), 0
+            texts, at = b.column(1), 0
+            bytes_to = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
             while at < len(texts):  # some texts at a time, by size
-                begin, size = at, 0
-                while at < len(texts) and (at == begin or size < TEXT_BYTES):
-                    size += len(texts[at] or b"")
-                    at += 1
-                flat, ends = cache.encode(texts[begin:at])
+                begin = at
+                at = max(begin + 1, int(np.searchsorted(bytes_to, (bytes_to[begin - 1] if begin else 0) + TEXT_BYTES, "right")))
+                flat, ends = cache.encode(texts.slice(begin, at - begin))
                 for i, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True), begin):
                     ids = np.append(flat[a:z], np.uint32(end)).astype("<u4")
                     for s in range(0, len(ids), capacity):
