@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandline.functions import markers
+
 #: Words that close an issue, marks of test paths, and words of a method's syntax that are no method.
 CLOSING = ("close", "closes", "closed", "fix", "fixes", "fixed", "resolve", "resolves", "resolved")
 TEST_PATHS = ("/test/", "/tests/", "/androidtest/", "/e2e/", "/testing/", "/testfixtures/", "/sharedtest/")
@@ -84,7 +86,7 @@ def is_test_path(path: Column) -> Column:
 
 
 def is_instrumented(path: Column) -> Column:
-    return F.contains(F.lower(path), F.lit("/androidtest/"))
+    return is_test_file(path, markers.INSTRUMENTED_SIGNS)
 
 
 def split_patch(patch: Column) -> Column:
@@ -180,9 +182,38 @@ def path_to_class(path: Column) -> Column:
     return F.replace(F.regexp_replace(below, r"\.(?:java|kt)$", ""), F.lit("/"), F.lit("."))
 
 
-def is_utility(name: Column, words: tuple[str, ...] = ("Util", "Utils", "Helper", "Factory", "Builder", "Mock", "Fake", "Stub", "Base", "Abstract", "Rule", "Runner", "Constants")) -> Column:
-    """A class whose name begins or ends with one of the words, or is an interface's such as IThing."""
-    return reduce(lambda a, b: a | b, [name.startswith(w) | name.endswith(w) for w in words]) | name.rlike(r"^I[A-Z][a-z]")
+def class_of_file(name: Column) -> Column:
+    """A file's name without its folders, .java and .kt."""
+    return F.replace(F.replace(F.substring_index(name, "/", -1), F.lit(".java"), F.lit("")), F.lit(".kt"), F.lit(""))
+
+
+def is_utility(name: Column, words: tuple[str, ...] = markers.UTILITY_WORDS, known: tuple[str, ...] = markers.UTILITY_NAMES) -> Column:
+    """Whether a class or its file isn't a test itself: its name begins or ends with one of the words, is known, or is an interface's such as IThing."""
+    own = class_of_file(name)
+    return reduce(lambda a, b: a | b, [own.startswith(w) | own.endswith(w) for w in words]) | own.isin(*known) | own.rlike(r"^I\p{Lu}")
+
+
+def has_test_methods(source: Column) -> Column:
+    """Whether a class's source has tests: @Test, two signs, or a test's name. A source that isn't there is taken to have some."""
+    signs = sum((F.contains(source, F.lit(w)).cast("int") for w in markers.TEST_METHOD_SIGNS), F.lit(0))
+    return F.coalesce((signs >= 2) | F.contains(source, F.lit("@Test")) | source.rlike("|".join(markers.TEST_METHOD_PATTERNS)), F.lit(True))
+
+
+def is_test_class(path: Column, source: Column) -> Column:
+    return ~is_utility(path) & has_test_methods(source)
+
+
+def is_test_file(path: Column, signs: tuple[str, ...] = markers.TEST_FILE_SIGNS) -> Column:
+    """By parts of the path in lower case."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(path), F.lit(w)) for w in signs])
+
+
+def is_test_name(path: Column) -> Column:
+    """By folder, by a word between separators, by the name's pattern, or by a test library's name."""
+    low = F.lower(path)
+    parts = [F.contains(low, F.lit(w)) for w in (*markers.TEST_FOLDERS, *markers.TEST_LIBRARIES)]
+    words = F.arrays_overlap(F.split(low, r"[ _/.]"), F.array(*[F.lit(w) for w in markers.TEST_WORDS]))
+    return reduce(lambda a, b: a | b, parts) | words | low.rlike("|".join(f"^(?:{p})" for p in markers.TEST_NAMES))
 
 
 def test_task(module: Column, variant: Column, class_name: Column) -> Column:
@@ -405,10 +436,34 @@ def candidate_ids(ids: DataFrame, known: DataFrame, name: str = "listed", key: s
     return exact.unionByName(numbered).distinct()
 
 
-def classes_in_modules(classes: DataFrame, files: DataFrame, name: str = "class_name", path: str = "path") -> DataFrame:
-    """Each class with the modules that have its source file: an equi-join on the class that a path stands for."""
-    listed = files.select(path_to_class(F.col(path)).alias(name), path_to_module(F.col(path)).alias("module"))
-    return classes.join(listed, name, "left").groupBy(name).agg(F.array_sort(F.collect_set("module")).alias("modules"))
+#: Folders of a module below which its tests are.
+TEST_ROOTS = ("src/test/java", "src/test/kotlin", "src/androidTest/java", "src/androidTest/kotlin", "src/main/test")
+
+
+def classes_in_modules(classes: DataFrame, files: DataFrame, modules: DataFrame, name: str = "class_name", path: str = "path", module: str = "module") -> DataFrame:
+    """Each class with the modules that have a file of its simple name below a test folder: equi-joins on that name and on the module's folder."""
+    root = "|".join(TEST_ROOTS)
+    pattern = rf"^(?:(.*?)/)?(?:{root})/(?:.*/)?([^/]+)\.(?:java|kt)$"
+    listed = files.where(F.col(path).rlike(pattern)).select(F.regexp_extract(path, pattern, 2).alias("simple_"), F.regexp_extract(path, pattern, 1).alias("folder_")).distinct()
+    known = modules.select(module, F.replace(F.regexp_replace(module, "^:", ""), F.lit(":"), F.lit("/")).alias("folder_")).distinct()
+    simple = F.element_at(F.split(name, r"\."), -1)
+    found = classes.select(name, simple.alias("simple_")).distinct().join(listed.join(known, "folder_"), "simple_", "left")
+    return found.groupBy(name).agg(F.array_sort(F.collect_set(module)).alias("modules"))
+
+
+def indented_block(text: Column, start: str) -> Column:
+    """The first line that matches `start`, and those behind it that are blank or more indented; null if there is none."""
+    lines = F.split(text, "\n")
+    begin = F.array_position(F.transform(lines, lambda x: x.rlike(start)), True)
+
+    def indent(x: Column) -> Column:
+        return F.length(F.regexp_extract(x, r"^\s*", 0))
+
+    own = F.slice(lines, begin.cast("int"), F.size(lines))
+    rest = F.slice(own, 2, F.size(lines))
+    ends = F.transform(rest, lambda x: (F.trim(x) != "") & (indent(x) <= indent(F.element_at(own, 1))))
+    last = F.array_position(ends, True).cast("int")
+    return F.when(begin > 0, F.array_join(F.when(last > 0, F.slice(own, 1, last)).otherwise(own), "\n"))
 
 
 def split_binary(patch: Column) -> Column:

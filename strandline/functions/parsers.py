@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from strandline.functions import markers
+
 HEADER = re.compile(r"^(?:diff --git |index [0-9a-f]+\.\.|--- |\+\+\+ |@@ |new file mode|deleted file mode|similarity index|rename )")
 BODY = re.compile(r"^[-+ \\]")
-FILE_ERROR = re.compile(r"^e: |\.(?:kt|java):\d+")
-ERROR = re.compile(r"error:|FAILED|FAILURE|Exception|cannot find symbol|Unresolved reference", re.IGNORECASE)
-NOISE = re.compile(r"^\s*$|^> Task |^Download|^Daemon|^\s*at ")
+FILE_ERROR, ERROR, NOISE = (re.compile("|".join(p)) for p in (markers.LOG_FILE_ERRORS, markers.LOG_ERRORS, markers.LOG_NOISE))
 
 
 def patch_by_state(text: str | None, misses: int = 3) -> str:
@@ -36,26 +37,40 @@ def patch_by_state(text: str | None, misses: int = 3) -> str:
     return "\n".join(out)
 
 
-def relevant_log(text: str | None, after: int = 5, least: int = 500, tail: int = 10_000) -> str:
-    """Error lines, each file error with up to `after` lines behind it that aren't noise, and the end of the log if that is little."""
-    lines = (text or "").split("\n")
-    out: list[str] = []
-    i = 0
-    while i < len(lines):
-        line = lines[i]
+def _relevant(lines: list[str], after: int, summary: int) -> Iterator[str]:
+    """Of trimmed lines those about errors. A file error that ends another's context counts on its own once more."""
+    shown = [i for i, x in enumerate(lines) if x and not NOISE.search(x)]
+    at = 0
+    while at < len(shown):
+        i = shown[at]
+        line, at = lines[i], at + 1
         if FILE_ERROR.search(line):
-            out.append(line)
-            taken = 0
-            while i + 1 < len(lines) and taken < after and not FILE_ERROR.search(lines[i + 1]):
-                i += 1
-                if not NOISE.match(lines[i]):
-                    out.append(lines[i])
-                    taken += 1
-        elif ERROR.search(line) and not NOISE.match(line):
-            out.append(line)
-        i += 1
-    found = "\n".join(out)
-    return found if len(found) >= least else found + "\n" + (text or "")[-tail:]
+            yield line
+            for _ in range(after):
+                if at == len(shown):
+                    return
+                yield lines[shown[at]]
+                if FILE_ERROR.search(lines[shown[at]]):
+                    break
+                at += 1
+        elif ERROR.search(line) or "symbol:" in line or "location:" in line:
+            yield line
+        elif "FAILURE: Build failed" in line:
+            yield line
+            for x in filter(None, lines[i + 1 : i + summary]):
+                yield x
+                if "Try:" in x:
+                    break
+
+
+def relevant_log(text: str | None, after: int = 5, summary: int = 10, least: int = 500, tail: int = 10_000) -> str:
+    """A build log's lines about errors; if they have fewer than `least` characters, a blank line and the log's last `tail` follow.
+
+    Lines are trimmed; blank ones and noise are left out. A file error brings up to `after` lines behind it, with the
+    next file error at most; a failure's summary brings the lines up to "Try:", fewer than `summary`.
+    """
+    found = "\n".join(_relevant([x.strip() for x in (text or "").split("\n")], after, summary))
+    return found if len(found) >= least else found + "\n\n" + (text or "")[-tail:]
 
 
 @F.pandas_udf(StringType())

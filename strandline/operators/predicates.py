@@ -6,13 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Markers of a failed compilation, in lower case.
-COMPILE_MARKERS = (
-    "compilation failed", "compilation error", "compile error", "cannot find symbol", "unresolved reference", "error: package",
-    "does not exist", "cannot be applied to", "incompatible types", "error: class", "error: method", "error: variable",
-    "error: cannot access", "syntax error", "build failed", "e: file://", "could not resolve", "unresolved import", "type mismatch", "none of the following",
-)
-
+from strandline.functions import markers
 
 #: White space that is cut off both ends.
 BLANK = " \t\n\r\f\x0b"
@@ -106,18 +100,24 @@ def build_succeeded(log: Column, exit_code: Column | None = None) -> Column:
     return said if exit_code is None else said | (~yes(F.contains(log, F.lit("BUILD FAILED"))) & yes(exit_code == 0))
 
 
-def tests_ran(log: Column, exit_code: Column) -> Column:
-    """Failure markers first, then markers of execution, then the exit code. Markers are compared in lower case throughout."""
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words is part of the text; not of a null one."""
+    return reduce(lambda a, b: a | b, [yes(F.contains(text, F.lit(w))) for w in words], F.lit(False))
+
+
+def tests_ran(log: Column, exit_code: Column, fold: bool = False) -> Column:
+    """Whether a run got to its tests: signs of failure first, then of execution, then the exit code.
+
+    Signs are looked for in the log's lower case as they are written, so those with capitals are never found, which is
+    what the runs on record were judged by; with fold they are put into lower case too.
+    """
     low = F.lower(F.coalesce(log, F.lit("")))
-    failed = low.rlike("build failed|execution failed for task|compilation failed|could not resolve")
-    executed = low.rlike("build successful|tests completed|> task :.*test")
-    return F.when(failed, False).when(executed, True).otherwise(yes(exit_code == 0))
+    failed, executed = (tuple(w.lower() if fold else w for w in words) for words in (markers.RUN_FAILED, markers.RUN_EXECUTED))
+    return F.when(has_any(low, failed), False).when(has_any(low, executed), True).otherwise(yes(exit_code == 0))
 
 
 def compile_failed(log: Column) -> Column:
-    import re
-
-    return yes(F.lower(log).rlike("|".join(re.escape(m) for m in COMPILE_MARKERS)))
+    return has_any(F.lower(log), markers.COMPILE_ERRORS)
 
 
 def patch_format(patch: Column) -> Column:

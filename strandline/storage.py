@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For masters on this machine alone, where no other folder is set.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names in the session or its context. Where it is unset there is a default for a local master, and an error else."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or DEFAULT_SHARED).rstrip("/")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, a local one only where it is unset; removed when the session's JVM ends."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or DEFAULT_SHARED).rstrip('/')}/strandline-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path

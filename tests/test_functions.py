@@ -144,10 +144,49 @@ def test_patch_state_machine():
 
 
 def test_relevant_log_keeps_lines_behind_a_file_error():
-    log = "\n".join(["> Task :a", "e: file:///A.kt:3 Unresolved", "  detail", "", "  more", "> Task :b", "fine"] + ["x"] * 20)
-    got = parsers.relevant_log(log, least=0).split("\n")
-    assert got[:3] == ["e: file:///A.kt:3 Unresolved", "  detail", "  more"] and len(got) == 6
-    assert parsers.relevant_log("short").endswith("short")
+    log = ["> Task :a", "e: file:///A.kt:3:5 Unresolved", "  detail", "", "Daemon #3 is", "  more", "> Task :b", "fine", "x1", "x2", "symbol: z", "BUILD FAILED"]
+    assert parsers.relevant_log("\n".join(log), least=0).split("\n") == ["e: file:///A.kt:3:5 Unresolved", "detail", "more", "> Task :b", "fine", "x1", "symbol: z", "BUILD FAILED"]
+    twice = ["e: file:///A.kt:3:5 a", "one", "e: file:///B.kt:4:5 b", "two"]
+    assert parsers.relevant_log("\n".join(twice), least=0).split("\n") == ["e: file:///A.kt:3:5 a", "one", "e: file:///B.kt:4:5 b", "e: file:///B.kt:4:5 b", "two"]
+    summary = ["* FAILURE: Build failed with", "", "Using Java: 17", "* Try:", "no"]
+    assert parsers.relevant_log("\n".join(summary), least=0).split("\n") == ["* FAILURE: Build failed with", "Using Java: 17", "* Try:"]
+    assert parsers.relevant_log("short") == "\n\nshort" and parsers.relevant_log(None) == "\n\n"
+    long = "BUILD FAILED " + "y" * 600
+    assert parsers.relevant_log(long + "\nrest") == long
+
+
+@pytest.mark.parametrize("name,utility", [("MockSmtpServer", True), ("LoginTest.kt", False), ("a/b/TestUtils.java", True), ("IThing", True), ("Item", False), ("ITest", True), ("BaseCase", True), ("x/ParserTest.java", True), ("AccountTest", False)])
+def test_utility_names(spark, name, utility):
+    assert value(spark, extract.is_utility, name) is (utility if name != "x/ParserTest.java" else True)
+
+
+def test_test_methods(spark):
+    sources = ["@Test fun a()", "fun testIt(", "void test", "describe( it(", "should(", "fun `does it`()", "class A {}", None]
+    assert [value(spark, lambda c: extract.has_test_methods(c.cast("string")), x) for x in sources] == [True, True, False, True, False, True, False, True]
+
+
+def test_test_paths(spark):
+    paths = ["app/src/test/A.kt", "app/src/commonTest/B.kt", "app/InstrumentedTest/C.kt", "x/test_d.py", "x/Latest.kt", "testing.md", "src/MyJUnit.txt", "a/UnitTest/x.md", "main/E.kt"]
+    by = {f: [value(spark, lambda c: f(c), p) for p in paths] for f in (extract.is_test_file, extract.is_test_name, extract.is_instrumented)}
+    assert by[extract.is_test_file] == [True, True, False, False, True, False, False, True, False]
+    assert by[extract.is_test_name] == [True, False, True, True, True, True, True, True, False]
+    assert by[extract.is_instrumented] == [False, False, True, False, False, False, False, False, False]
+
+
+def test_classes_in_modules(spark):
+    files = [("app/src/test/java/org/x/ATest.java",), ("lib/core/src/androidTest/kotlin/ATest.kt",), ("src/test/java/BTest.java",), ("other/src/test/java/q/ATest.java",), ("app/src/main/java/CTest.java",)]
+    df = spark.createDataFrame(files, "path string")
+    classes = spark.createDataFrame([("org.x.ATest",), ("BTest",), ("org.CTest",)], "class_name string")
+    modules = spark.createDataFrame([(":app",), (":lib:core",), (":",)], "module string")
+    found = {r["class_name"]: r["modules"] for r in extract.classes_in_modules(classes, df, modules).collect()}
+    assert found == {"org.x.ATest": [":app", ":lib:core"], "BTest": [":"], "org.CTest": []}
+
+
+def test_indented_block(spark):
+    text = "class A {\n  fun a() {\n    one\n\n    two\n  }\n  fun b() {}\n}"
+    assert value(spark, lambda c: extract.indented_block(c, "fun a"), text) == "  fun a() {\n    one\n\n    two"
+    assert value(spark, lambda c: extract.indented_block(c, "^class"), text) == text[:-2]
+    assert value(spark, lambda c: extract.indented_block(c, "absent"), text) is None
 
 
 def test_best_patch(spark):

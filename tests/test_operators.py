@@ -27,10 +27,20 @@ def test_suffix_match_needs_a_separator(spark):
     assert predicates.suffix_match(df, ids, "id", allow=False).count() == 3
 
 
-@pytest.mark.parametrize("log,code,ran", [("BUILD SUCCESSFUL", 1, True), ("Build Failed", 0, False), ("nothing", 0, True), (None, None, False), ("> Task :app:testDebug", 1, True)])
-def test_classifier_ignores_case(spark, log, code, ran):
+@pytest.mark.parametrize("log,code,ran,folded", [("BUILD SUCCESSFUL", 1, False, True), ("Build Failed", 0, False, False), ("nothing", 0, True, True), (None, None, False, False),
+    ("> Task :testDebug", 1, False, True), ("Test Results: 3 Tests completed", 1, True, True), ("Execution failed for task x", 0, True, False), ("cannot find symbol; tests ran", 0, False, False)])
+def test_run_classifier(spark, log, code, ran, folded):
     df = spark.createDataFrame([(log, code)], "log string, code int")
-    assert df.select(predicates.tests_ran(F.col("log"), F.col("code"))).first()[0] is ran
+    found = df.select(predicates.tests_ran(F.col("log"), F.col("code")), predicates.tests_ran(F.col("log"), F.col("code"), fold=True)).first()
+    assert tuple(found) == (ran, folded)
+
+
+def test_compile_failed(spark):
+    from strandline.functions import markers
+
+    logs = [*(f"x {w.upper()} y" for w in markers.COMPILE_ERRORS), "BUILD FAILED", "does not exist", "", None]
+    df = spark.createDataFrame([(x,) for x in logs], "log string")
+    assert [r[0] for r in df.select(predicates.compile_failed(F.col("log"))).collect()] == [True] * 20 + [False] * 4
 
 
 def test_within_limit_uses_the_least_limit(spark):
