@@ -68,3 +68,46 @@ def test_edges(spark, rows):
     assert mixing.mix(docs).count() == len(rows)
     total = mixing.mix(docs).agg(F.sum("copies")).first()[0] or 0
     assert mixing.apply_mix(docs).count() == total
+
+
+def test_many_equal_rows_share_one_class(spark):
+    rows = [(7, "a b c", "s")] * 3000 + [(i, "w " * (i % 40), f"s{i % 3}") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    same = [r["copies"] for r in out if r["doc_id"] == 7]
+    assert len(same) == 3000 and max(same) - min(same) <= 1 and max(same) <= 3
+    target = next(r["target"] for r in out if r["doc_id"] == 7)
+    assert abs(3 * sum(same) - target) <= 3
+    counts = {r["doc_id"]: r["count"] for r in mixing.apply_mix(docs).groupBy("doc_id").count().collect()}
+    assert counts[7] == sum(same)
+
+
+def test_repeated_in_parts(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 1), (3, 0), (4, 23)], "row_key long, n long")
+    for some, most in ((4, 23), (100, 23)):
+        got = sorted((r["row_key"], r["nth_"]) for r in mixing._repeated(rows, "n", some, most).collect())
+        assert got == [(k, i) for k, n in ((1, 5), (2, 1), (4, 23)) for i in range(n)]
+
+
+def test_landing_is_the_best_of_all_choices():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(1, 9))
+        p, size = rng.random(n) * 0.98 + 0.01, rng.integers(0, 500, n)
+        unit = max(1.0, float(size.mean()))
+
+        def cost(choice):
+            moved = [c - q for c, q in zip(choice, p)]
+            return abs(sum(m * s for m, s in zip(moved, size))) / unit + 0.1 * abs(sum(moved))
+
+        assert cost(mixing.landing(p, size)) <= min(cost(c) for c in product((0, 1), repeat=n)) + 1e-9
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "w " * (i % 7), f"s{i % 2}", i, "x", {"k": i}) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, total long, doc_ string, row_key map<string,int>")
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns and out.count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
