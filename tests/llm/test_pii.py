@@ -80,3 +80,119 @@ def test_long_secrets_are_spans(spark):
     docs = spark.createDataFrame([(i, f"secret key {k} end") for i, k in enumerate(keys)], "doc_id long, text string")
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["s"]] for r in docs.select("doc_id", pii._spans(F.col("text"), "secret").alias("s")).collect()}
     assert got == {0: [(11, 43)], 1: [(11, 267)], 2: [(11, 160011)], 3: []}
+
+
+def plain_em(spans, rounds=50):
+    """Expectation maximisation for the spans of one kind, span by span, as the docstring of estimate() says."""
+    import math
+
+    balance = [sum({-1: 0, 0: -1, 1: 1}[v] for v in s) for s in spans]
+    first = post = [1 / (1 + math.exp(-1.5 * b)) for b in balance]
+    n, strength = len(spans), max(pii.STRENGTH, pii.PART * len(spans))
+    for _ in range(rounds):
+        prior = min(0.98, max(0.02, (sum(post) + strength * sum(first) / n) / (n + strength)))
+        shares = []
+        for k in range(4):
+            share = [[a / sum(row) for a in row] for row in pii.ANCHOR]
+            if len({s[k] for s in spans}) > 1:
+                for y in (0, 1):
+                    mass = [strength * a for a in share[y]]
+                    for s, p in zip(spans, post):
+                        mass[s[k] + 1] += p if y else 1 - p
+                    share[y] = [m / sum(mass) for m in mass]
+            weight = [math.log(b / a) for a, b in zip(*share)]
+            shares.append([weight[0], min(0, weight[1]), max(0, weight[2])])
+        post = []
+        for s in spans:
+            logit = math.log(prior / (1 - prior)) + sum(shares[k][v + 1] for k, v in enumerate(s))
+            post.append(1 / (1 + math.exp(-min(30, max(-30, logit)))))
+    return post
+
+
+def test_estimate_matches_plain_em():
+    from collections import Counter
+
+    rng = random.Random(3)
+    for _ in range(5):
+        kinds = {kind: [(rng.choice([-1, 1, 1]), rng.choice([-1, 0, 1]), rng.choice([-1, -1, 1]), 1) for _ in range(rng.randint(1, 80))] for kind in (0, 4, 6)}
+        counts = sorted(Counter((kind, 0, *s) for kind, spans in kinds.items() for s in spans).items())
+        chances = dict(zip([c[0] for c in counts], pii.estimate(counts)[0]))
+        for kind, spans in kinds.items():
+            for s, p in zip(spans, plain_em(spans)):
+                assert abs(chances[(kind, 0, *s)] - p) < 1e-9
+
+
+def test_labelers_that_agree_are_believed():
+    """Counts in the shape of a corpus: thousands of base spans whose strict vote never varies, a few hundred secrets that all vote alike."""
+    counts = [((0, 1, 1, 1, -1, 1), 4000), ((0, 1, 1, -1, -1, 1), 900), ((1, 0, 1, -1, -1, 1), 3500), ((1, 0, 1, 0, -1, 1), 400), ((2, 1, 1, 1, -1, 1), 2500),
+              ((2, 1, 1, -1, -1, 1), 300), ((2, 1, 1, 0, -1, 1), 200), ((3, 1, 1, 1, -1, 1), 1200), ((3, 1, 1, 0, -1, 1), 150), ((4, 2, 1, -1, 1, 1), 166)]
+    noise = [((4, 0, 0, -1, -1, 0), 40), ((4, 0, -1, -1, -1, 0), 25), ((7, 0, 0, -1, -1, -1), 60), ((7, 0, 0, 0, -1, -1), 30)]
+    for more in ([], noise):
+        rows = sorted(counts + more)
+        chances, _ = pii.estimate(rows)
+        weights = pii.train(rows, chances)
+
+        def score(key):
+            kind, bucket, *votes = key
+            return weights[0][0] + weights[1][kind] + weights[2][bucket] + sum(w[3 * kind + v + 1] for w, v in zip(weights[3:], votes))
+
+        for key, p in zip([r[0] for r in rows], chances):
+            assert (p > 0.9 and score(key) > 0) if (key, 166) in counts else True
+            assert (p < 0.5 and score(key) < 0) if any(key == k for k, _ in more) else True
+
+
+def test_further_kinds(spark):
+    plain = [(i, f"plain words {i}, item-{i} of 2024-01-{10 + i % 20} at 12 345 678 and part {i}", "en", 1) for i in range(80)]
+    planted = {
+        100: ("iban DE89 3704 0044 0532 0130 00 for the rent", "iban:5:32"), 101: ("pay to account GB82WEST12345698765432 now", "iban:15:37"),
+        102: ("ssn 536-22-8190 on file", "national:4:15"), 103: ("call (030) 1234-5678 today", "tel:5:20"), 104: ("phone 555-867-5309 today", "tel:6:18"),
+        105: ("token ghp_a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8", "secret:6:46"),
+        106: ("bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", "secret:7:99"),
+        107: ("password=3f9a1c-77be_02d41+aa9/0b1c==", "secret:9:37"),
+    }
+    docs = spark.createDataFrame(plain + [(i, t, "en", 1) for i, (t, _) in planted.items()], "doc_id long, text string, lang string, n_chars long")
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}
+    assert {i: spans[i] for i in planted if i != 101} == {i: s for i, (_, s) in planted.items() if i != 101}
+    assert planted[101][1] in spans[101]
+    assert all(not spans[i] for i in range(80))
+
+
+def test_clashing_columns(spark):
+    names = ["base", "extra", "secret_", "text_", "email_", "spans_", "spans", "kept", "secret"]
+    rows = [(1, "mail a@b.co", 1, *names), (2, None, 1, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    out = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert tuple(out[1]) == (1, "mail <email>", 12, *names) and tuple(out[2]) == (2, None, 1, *names)
+    assert pii.digest(docs).count() == 2
+
+
+def test_a_hundred_thousand_addresses_in_one_text(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"u{i}@ex.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert pii.digest(docs).first()["n_email"] == n
+    assert pii.redact(docs).first()["text"] == " ".join(["<email>"] * n)
+    assert time.time() - began < 100
+
+
+def test_spans_that_overlap(spark):
+    """Base spans free extra ones only where none of them reaches in, and redact() takes a run of spans as one."""
+    rng = random.Random(11)
+    texts = [random_text(rng) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["kept"]: r for r in pii.find_spans(docs, docs.doc_id).collect()}
+    for i, t in enumerate(texts):
+        base, extra = ([(s["start"], s["kind"], s["end"]) for s in got[i][c]] for c in ("base", "extra"))
+        assert base == brute(t)
+        assert all(not (a < z2 and a2 < z) for a, _, z in extra for a2, _, z2 in base)
+    spans = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.detect(docs).collect()}
+    for r in pii.redact(docs).collect():
+        out, at = "", 0
+        for a, k, z in spans[r["doc_id"]]:
+            if a >= at:
+                out += texts[r["doc_id"]][at:a] + f"<{pii.KINDS[k]}>"
+            at = max(at, z)
+        assert r["text"] == out + texts[r["doc_id"]][at:]
