@@ -1,10 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 A word's input has a part from the word (its log-odds in toxic texts and a learned vector) and a part from its
-characters (the log-odds of its character n-grams and the mean of their learned vectors). Windows of a text overlap and
-cover all of it. A window's states in both directions are pooled by attention to one logit, and a text's score comes from
-its highest window and the number of its windows. Log-odds are cross-fitted: while the network learns from a text, they
-are those of the other texts.
+characters (the log-odds of its character n-grams and the mean of their learned vectors). The network reads a text in
+stretches that overlap, and each word has the states of the stretch that it stands well inside of. Windows begin at every
+word: the states of a window's words are pooled by attention to one logit, and a text's score comes from its highest
+window and the number of its windows. Log-odds are cross-fitted: while the network learns from a text, they are those of
+the other texts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -22,38 +24,59 @@ from strandline.llm.common import binary, worker_cache
 
 #: Labelled texts that are learned from, at most: the least by hash of doc_id. Texts, of these, that the last step is fitted on.
 TRAIN_TEXTS, CALIBRATION_TEXTS = 3000, 1000
-#: Words of a window, and from one window's begin to the next.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, a power of two, which is also what the network reads at once; words of a stretch that are its own, and what it reads before them.
+WINDOW, OWN, MARGIN = 32, 24, 4
 #: Units in each direction, learned numbers of a word and of its characters, attention units.
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 4, 4, 8
 #: Buckets of character n-grams for log-odds and for learned vectors, lengths of n-grams, words with log-odds at most.
 GRAMS, CHAR_ROWS, LENGTHS, VOCABULARY = 1 << 18, 1 << 12, (3, 4, 5), 50_000
 STATIC, SHRINK = 5, 4.0
 EPOCHS, BATCH, RATE, FOLDS = 6, 256, 0.02, 4
-#: Words whose inputs a worker remembers, windows scored at once.
+#: Words whose inputs a worker remembers, words or stretches worked on at once.
 REMEMBERED, AT_ONCE = 150_000, 4096
 STRIPPED = b".,;:!?'\"()*#$%&|<>"
 
 _IN = STATIC + WORD_DIM + CHAR_DIM
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().translate(None, STRIPPED).split()
-
-
-def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words' character n-grams, and where each word's begin."""
-    parts, sizes = [], []
-    for a in range(0, len(words), AT_ONCE):  # some words at a time: lists of numbers are large
-        flat: list[int] = []
-        for w in words[a : a + AT_ONCE]:
-            before = len(flat)
-            s = b"^" + w + b"$"
-            flat += [zlib.crc32(s[i : i + n]) for n in LENGTHS for i in range(max(1, len(s) - n + 1))]
-            sizes.append(len(flat) - before)
-        parts.append(np.array(flat, dtype=np.uint32))
-    ends = np.cumsum(sizes, dtype=np.int64)
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32), ends - np.array(sizes, dtype=np.int64)
+def words_of(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts' distinct words, the numbers of all words, one text after another, and how many words each text has."""
+    plain = [(t or b"").lower().translate(None, STRIPPED).strip() or None for t in texts]
+    lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).view(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+
+
+def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words' character n-grams, with marks for the word's ends, and where each word's begin."""
+    parts, sizes = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.int64)]
+    for a in range(0, len(words), AT_ONCE):
+        some = pa.array(words.slice(a, AT_ONCE).view(pa.large_binary()).to_pylist(), pa.large_binary())
+        offsets = np.frombuffer(some.buffers()[1], dtype=np.int64)[: len(some) + 1]
+        length = np.diff(offsets) + 2  # with both marks
+        pad = max(LENGTHS)
+        begin = np.cumsum(length + pad) - length - pad
+        flat = np.zeros(int((length + pad).sum()) + pad, dtype=np.uint32)
+        inside = np.repeat(begin + 1 - offsets[:-1], length - 2) + np.arange(offsets[-1])
+        flat[inside] = np.frombuffer(some.buffers()[2] or b"", dtype=np.uint8)[: offsets[-1]].astype(np.uint32) + 3
+        flat[begin], flat[begin + length - 1] = 1, 2
+        counts = [np.maximum(1, length - n + 1) for n in LENGTHS]
+        each = sum(counts)
+        out = np.empty(int(each.sum()), dtype=np.uint32)
+        place = np.cumsum(each) - each
+        for n, count in zip(LENGTHS, counts, strict=True):
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(begin, count) + nth
+            h = np.full(len(at), n, dtype=np.uint32)
+            for i in range(n):
+                h = (h ^ flat[at + i]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+            out[np.repeat(place, count) + nth] = h
+            place = place + count
+        parts.append(out)
+        sizes.append(each)
+    each = np.concatenate(sizes)
+    return np.concatenate(parts), np.cumsum(each) - each
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -77,8 +100,11 @@ def init(rng: np.random.Generator, words: int) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def forward(p: dict, gx: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
-    """Logits of windows. gx: (step, direction, window, 3 * HIDDEN) input sums, direction 1 in reverse; mask: (step, window)."""
+def read(p: dict, gx: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
+    """States (step, stretch, 2 * HIDDEN) of stretches, their attention scores, and what backward() needs.
+
+    gx: (step, direction, stretch, 3 * HIDDEN) input sums, direction 1 in reverse; mask: (step, stretch).
+    """
     steps, _, m, _ = gx.shape
     h = np.zeros((2, m, HIDDEN), dtype=gx.dtype)
     states = np.empty((steps, 2, m, HIDDEN), dtype=gx.dtype)
@@ -93,13 +119,19 @@ def forward(p: dict, gx: np.ndarray, mask: np.ndarray, keep: bool = False) -> tu
             for k, v in (("z", z), ("r", r), ("n", n), ("before", h)):
                 memo[k].append(v)
         h = states[t] = new
-    both = np.concatenate((states[:, 0], states[::-1, 1]), axis=2)  # (step, window, 2 * HIDDEN)
+    both = np.concatenate((states[:, 0], states[::-1, 1]), axis=2)
     u = np.tanh(both @ p["wa"])
-    score = np.where(mask, u @ p["va"], -1e9)
+    return both, u @ p["va"], memo | {"both": both, "u": u}
+
+
+def forward(p: dict, gx: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Logits of stretches, each one window, and what backward() needs."""
+    both, score, memo = read(p, gx, mask, keep=True)
+    score = np.where(mask, score, -1e9)
     e = np.exp(score - score.max(axis=0))
     weight = e / e.sum(axis=0)
     pooled = np.einsum("tm,tmd->md", weight, both)
-    return pooled @ p["wo"] + p["bo"], memo | {"both": both, "u": u, "weight": weight, "pooled": pooled}
+    return pooled @ p["wo"] + p["bo"], memo | {"weight": weight, "pooled": pooled}
 
 
 def backward(p: dict, memo: dict, mask: np.ndarray, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -141,56 +173,76 @@ def input_sums(p: dict, x: np.ndarray) -> np.ndarray:
     return x @ p["wx"] + p["bx"]
 
 
-def windows_of(n: int) -> np.ndarray:
-    """Begins of the windows of n words, the last of which reaches the end."""
-    return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else np.empty(0, dtype=np.int64)
-
-
-class Words:
-    """The inputs of distinct words: their number in the vocabulary, their static part, and their n-grams' mean vector."""
-
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
-        self.vocabulary = vocabulary
-
-    def inputs(self, words: list[bytes], found: tuple, word_odds: np.ndarray, gram_odds: np.ndarray, p: dict) -> np.ndarray:
-        """found: grams_of(words)."""
-        number = np.array([self.vocabulary.get(w, 0) for w in words])
-        grams, starts = found
-        odds = gram_odds[grams % GRAMS]
-        sizes = np.diff(np.append(starts, len(grams)))
-        x = np.empty((len(words), _IN), dtype=np.float32)
-        x[:, 0] = word_odds[number]
-        x[:, 1] = np.maximum.reduceat(odds, starts)
-        x[:, 2] = np.add.reduceat(odds, starts) / sizes
-        x[:, 3] = number > 0
-        x[:, 4] = np.minimum(np.array([len(w) for w in words]), 20) / 10
-        x[:, STATIC : STATIC + WORD_DIM] = p["word"][number]
-        rows = grams % CHAR_ROWS
-        x[:, STATIC + WORD_DIM :] = np.add.reduceat(p["char"][rows], starts) / sizes[:, None]
-        return x
+def stretches_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of n words begin, and the first words that are their own; the next OWN - 1 are too, as far as there are any."""
+    own = np.arange(0, n, OWN)
+    return np.maximum(own - MARGIN, 0), own
 
 
-def _index(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all windows of docs, -1 behind their end, and each window's doc."""
-    rows, owner = [], []
-    for k, ids in enumerate(docs):
-        begins = windows_of(len(ids))
-        if len(begins):
-            at = begins[:, None] + np.arange(WINDOW)
+def _index(docs: list[np.ndarray]) -> np.ndarray:
+    """Word numbers of all stretches of docs, -1 behind their end."""
+    rows = [np.empty((0, WINDOW), dtype=np.int64)]
+    for ids in docs:
+        at = stretches_of(len(ids))[0][:, None] + np.arange(WINDOW)
+        if len(at):
             rows.append(np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], -1))
-            owner.append(np.full(len(begins), k))
-    if not rows:
-        return np.empty((0, WINDOW), dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(rows), np.concatenate(owner)
+    return np.concatenate(rows)
+
+
+def inputs(number: np.ndarray, lengths: np.ndarray, grams: tuple, word_odds: np.ndarray, gram_odds: np.ndarray, p: dict) -> np.ndarray:
+    """The inputs of words, given by number in the vocabulary (0: not in it), length in bytes, and grams_of()."""
+    flat, starts = grams
+    odds = gram_odds[flat % GRAMS]
+    sizes = np.diff(np.append(starts, len(flat)))
+    x = np.empty((len(number), _IN), dtype=np.float32)
+    if not len(number):
+        return x
+    x[:, 0] = word_odds[number]
+    x[:, 1] = np.maximum.reduceat(odds, starts)
+    x[:, 2] = np.add.reduceat(odds, starts) / sizes
+    x[:, 3] = number > 0
+    x[:, 4] = np.minimum(lengths, 20) / 10
+    x[:, STATIC : STATIC + WORD_DIM] = p["word"][number]
+    x[:, STATIC + WORD_DIM :] = np.add.reduceat(p["char"][flat % CHAR_ROWS], starts) / sizes[:, None]
+    return x
+
 
+def top_windows(p: dict, sums: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text with words the logit of its highest window and the number of its windows: one from every word that WINDOW words follow, itself included, or one.
 
-def _logits(p: dict, sums: np.ndarray, index: np.ndarray) -> np.ndarray:
-    out = np.empty(len(index), dtype=np.float32)
-    for a in range(0, len(index), AT_ONCE):
-        part = index[a : a + AT_ONCE].T
-        gx = np.stack((sums[0][part], sums[1][part[::-1]]), axis=1)
-        out[a : a + AT_ONCE], _ = forward(p, gx, part >= 0)
-    return out
+    ids: numbers of the texts' words, one text after another, for the input sums; counts: the texts' numbers of words, none 0.
+    A window's logit is a quotient of two sums over its words; all windows' sums come from sums over 1, 2, 4, ... words.
+    """
+    starts = np.cumsum(counts) - counts
+    many = -(-counts // OWN)
+    owner = np.repeat(np.arange(len(counts)), many)
+    own = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * OWN
+    begin = np.maximum(own - MARGIN, 0)
+    length, mine = np.minimum(counts[owner] - begin, WINDOW), np.minimum(counts[owner] - own, OWN)
+    e, value = np.empty(len(ids)), np.empty(len(ids))
+    step = np.arange(WINDOW)
+    for a in range(0, len(owner), AT_ONCE):
+        some = slice(a, a + AT_ONCE)
+        at = (starts[owner[some]] + begin[some])[:, None] + step
+        part = np.where(step < length[some, None], ids[np.minimum(at, len(ids) - 1)], -1).T
+        both, score, _ = read(p, np.stack((sums[0][part], sums[1][part[::-1]]), axis=1), part >= 0)
+        first = (own - begin)[some, None]
+        kept = (step >= first) & (step < first + mine[some, None])
+        e[at[kept]] = np.exp(score.T[kept].astype(float))
+        value[at[kept]] = (both @ p["wo"]).T[kept]
+    padded = np.maximum(counts, WINDOW)
+    base = np.cumsum(padded) - padded
+    place = np.repeat(base - starts, counts) + np.arange(len(ids))
+    below, above = np.zeros(int(padded.sum())), np.zeros(int(padded.sum()))
+    below[place], above[place] = e, e * value
+    width = 1
+    while width < WINDOW:
+        below, above = (np.concatenate((x[:-width] + x[width:], x[len(x) - width :])) for x in (below, above))
+        width *= 2
+    windows = padded - WINDOW + 1
+    edges = np.stack((base, base + windows), axis=1).ravel()
+    logits = above / np.where(below > 0, below, 1.0)
+    return np.maximum.reduceat(np.append(logits, 0.0), edges)[::2] + float(p["bo"][0]), windows
 
 
 def train(texts: list[bytes], labels: np.ndarray) -> dict:
@@ -200,10 +252,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     if not labels.any() or labels.all():
         return {"rate": float(rate)}
     rng = np.random.default_rng(7)
-    number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    words = list(number)
-    grams, starts = grams_of(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
+    words, flat_ids, counts = words_of(texts)
+    docs = np.split(flat_ids.astype(np.int64), np.cumsum(counts)[:-1])
+    grams, starts = grams_of(words)
+    in_bytes = pc.binary_length(words).to_numpy()
     ends = np.append(starts[1:], len(grams))
     fold = np.arange(len(docs)) % FOLDS
     word_counts = np.zeros((FOLDS, 2, len(words)))
@@ -224,29 +276,28 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     all_odds, gram_odds = odds(None)
     often = word_counts.sum((0, 1))
     chosen = [int(i) for i in np.lexsort((np.arange(len(words)), -np.abs(all_odds))) if often[i] >= 2][:VOCABULARY]
-    vocabulary = {words[i]: k + 1 for k, i in enumerate(chosen)}
-    p = init(rng, len(vocabulary))
-    source = Words(vocabulary)
+    vocab_of = np.zeros(len(words), dtype=np.int64)
+    vocab_of[chosen] = np.arange(1, len(chosen) + 1)
+    p = init(rng, len(chosen))
 
-    def inputs(skip: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    def blocks(skip: int | None) -> Iterator[tuple[int, np.ndarray]]:
         """Where some words begin and their inputs, block by block, with the log-odds of all folds but one."""
         w, g = odds(skip)
         w = np.concatenate(([0], w[chosen])).astype(np.float32)
         for a in range(0, len(words), AT_ONCE):
             b = min(len(words), a + AT_ONCE)
             own = grams[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
-            yield a, source.inputs(words[a:b], own, w, g, p)
+            yield a, inputs(vocab_of[a:b], in_bytes[a:b], own, w, g, p)
 
     static = np.empty((FOLDS, len(words), STATIC), dtype=np.float32)
     for f in range(FOLDS):
-        for a, x in inputs(f):
+        for a, x in blocks(f):
             static[f, a : a + len(x)] = x[:, :STATIC]
-    vocab_of = np.array([vocabulary.get(w, 0) for w in words])
     rows, sizes_ = (grams % CHAR_ROWS).astype(np.uint16), ends - starts
-    # windows that are learned from: of a toxic text the most suspect one, of a clean one the most suspect and two by chance
+    # stretches that are learned from: of a toxic text the most suspect one, of a clean one the most suspect and two by chance
     picked, target, of_fold = [], [], []
     for k, ids in enumerate(docs):
-        index, _ = _index([ids])
+        index = _index([ids])
         if not len(index):
             continue
         x = static[fold[k]]
@@ -283,7 +334,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
             x[mask, STATIC:] = learned[back]
             sums = x[:, None] @ p["wx"] + p["bx"]
             gx = np.stack((sums[:, 0], sums[::-1, 1]), axis=1)
-            logit, memo = forward(p, gx, mask, keep=True)
+            logit, memo = forward(p, gx, mask)
             d = (_sigmoid(logit) - target[at]) * balance[at] / len(at)
             g, d_gx = backward(p, memo, mask, d.astype(np.float32))
             d_sums = np.stack((d_gx[:, 0], d_gx[::-1, 1]))  # (direction, step, window, 3 * HIDDEN)
@@ -305,27 +356,20 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     for f in range(FOLDS):
         mine = [k for k in np.flatnonzero(fold == f)[: CALIBRATION_TEXTS // FOLDS] if len(docs[k])]
         if mine:
-            index, owner = _index([docs[k] for k in mine])
             sums = np.empty((2, len(words), 3 * HIDDEN), dtype=np.float32)
-            for a, x in inputs(f):
+            for a, x in blocks(f):
                 sums[:, a : a + len(x)] = input_sums(p, x)
-            top = _highest(_logits(p, sums, index), owner, len(mine))
-            features += list(zip(top, np.log(np.bincount(owner, minlength=len(mine))), strict=True))
+            top, windows = top_windows(p, sums, np.concatenate([docs[k] for k in mine]), np.array([len(docs[k]) for k in mine]))
+            features += list(zip(top, np.log(windows), strict=True))
             goal += list(labels[mine])
     final = _calibrate(np.array(features), np.array(goal, dtype=float))
-    return {"rate": float(rate), "p": p, "vocabulary": vocabulary, "word_odds": np.concatenate(([0], all_odds[chosen])).astype(np.float32), "gram_odds": gram_odds, "final": final}
+    return {"rate": float(rate), "p": p, "vocabulary": words.take(pa.array(np.array(chosen, dtype=np.int64))), "word_odds": np.concatenate(([0], all_odds[chosen])).astype(np.float32), "gram_odds": gram_odds, "final": final}
 
 
 def _sums_at(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, weights=rows[:, k], minlength=n) for k in range(rows.shape[1])], axis=1)
 
 
-def _highest(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, -np.inf, dtype=np.float32)
-    np.maximum.at(out, owner, logits)
-    return out
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression near the network's own logit: Newton steps with ridge, halved until the loss falls."""
     x = np.column_stack((np.ones(len(x)), np.clip(x[:, 0], -30, 30), x[:, 1]))
@@ -355,24 +399,36 @@ class Scorer:
     def __init__(self, model: dict) -> None:
         self.model = model
         if "p" in model:
-            self.words = Words(model["vocabulary"])
             self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.sums = np.zeros((2, 0, 3 * HIDDEN), dtype=np.float32)
 
-    def learn(self, words: list[bytes]) -> None:
-        m = self.model
+    def learn(self, words: pa.Array) -> None:
+        m, n = self.model, len(self.known)
+        if n + len(words) > self.sums.shape[1]:
+            more = max(REMEMBERED - n, len(words))  # pages that aren't touched take no memory
+            self.sums = np.concatenate((self.sums[:, :n], np.zeros((2, more, 3 * HIDDEN), dtype=np.float32)), axis=1)
+        number = pc.add(pc.fill_null(pc.index_in(words, value_set=m["vocabulary"]), -1), 1).to_numpy()
+        lengths = pc.binary_length(words).to_numpy()
         for a in range(0, len(words), AT_ONCE):
-            part = words[a : a + AT_ONCE]
-            n = len(self.known)
-            if n + len(part) > self.sums.shape[1]:
-                more = max(REMEMBERED - n, len(part))  # pages that aren't touched take no memory
-                self.sums = np.concatenate((self.sums[:, :n], np.zeros((2, more, 3 * HIDDEN), dtype=np.float32)), axis=1)
-            x = self.words.inputs(part, grams_of(part), m["word_odds"], m["gram_odds"], m["p"])
-            self.sums[:, n : n + len(part)] = input_sums(m["p"], x)
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            some = slice(a, a + AT_ONCE)
+            x = inputs(number[some], lengths[some], grams_of(words.slice(a, AT_ONCE)), m["word_odds"], m["gram_odds"], m["p"])
+            self.sums[:, n + a : n + a + len(x)] = input_sums(m["p"], x)
+        self.known = pa.concat_arrays([self.known, words])
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words, new ones learned."""
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            if len(self.known) + len(new) > REMEMBERED:
+                self.clear()
+                new = words
+            self.learn(new)
+            at = pc.index_in(words, value_set=self.known)
+        return at.to_numpy()
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         m = self.model
@@ -380,29 +436,27 @@ class Scorer:
         if "p" not in m:
             out[:] = m["rate"]
             return out
-        docs = [words_of(t) for t in texts]
-        new = list(dict.fromkeys(w for d in docs for w in d if w not in self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(dict.fromkeys(w for d in docs for w in d))
-        self.learn(new)
-        index, owner = _index([np.array([self.known[w] for w in d], dtype=np.int64) for d in docs])
-        if len(index):
-            top = _highest(_logits(m["p"], self.sums, index), owner, len(texts))
-            some = np.isfinite(top)
-            n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+        words, ids, counts = words_of(texts)
+        some = counts > 0
+        if some.any():
+            top, windows = top_windows(m["p"], self.sums_of(words), ids, counts[some])
             a, b, c = m["final"]
-            out[some] = _sigmoid((a + b * top + c * np.log(n))[some].astype(float))
+            out[some] = _sigmoid(a + b * top + c * np.log(windows))
         return out
 
+    def sums_of(self, words: pa.Array) -> np.ndarray:
+        at = self.numbers(words)
+        return self.sums[:, at]
+
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled documents that aren't held out, the least by hash of doc_id."""
+    """(doc_id, text, label) of at most `most` rows of labelled documents that aren't held out, the least by hash of doc_id, then of text."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id")  # at most `most` rows of two numbers
+    found = texts.join(F.broadcast(sample), "doc_id")  # at most `most` rows of two numbers
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)  # each task gives its least, however often rows repeat
 
 
 def held_out(doc_id: object) -> object:
@@ -410,7 +464,10 @@ def held_out(doc_id: object) -> object:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> bytes:
-    """The pickled model, trained in one task from at most `most` texts. Rows that repeat a doc_id each count, `most` at most."""
+    """The pickled model, trained in one task from at most `most` texts. Rows that repeat a doc_id each count, `most` in all at most.
+
+    Of the words in these texts at most VOCABULARY have log-odds and vectors of their own; all others have those of their n-grams.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -418,7 +475,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
             rows += zip(b.column(0).to_pylist(), binary(b.column(1)), b.column(2).to_pylist(), strict=True)
         worker_cache(("train",), lambda: None)  # room: what the worker has kept goes
         rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or b""))
-        rows = rows[:most]
         model = train([r[1] or b"" for r in rows], np.array([r[2] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
@@ -427,10 +483,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     return bytes(row["model"]) if row else pickle.dumps(train([], np.empty(0)))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """docs with a last column score; their other columns go along as they are."""
+def _scored(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, str]:
+    """docs with a last column score of a name that docs doesn't have, which is returned too; the other columns go along as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, most))
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), "score_"
+    while name in docs.columns:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = model.value
@@ -445,9 +503,9 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFr
                     found.append(scorer.scores(texts[begin : i + 1]))
                     begin, size = i + 1, 0
             found.append(scorer.scores(texts[begin:]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found))], names=[*b.schema.names, "score_"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score_", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
@@ -458,11 +516,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     held out. Rows that repeat a doc_id get a score each; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = _scored(texts, labels, label, most)
+    scored, _ = _scored(texts, labels, label, most)
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     return scored.select("doc_id", out, F.col("score_").alias("score"), (F.col("score_") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_TEXTS) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below 0.5."""
-    return _scored(docs, labels, label, most).where("score_ < 0.5").drop("score_")
+    scored, name = _scored(docs, labels, label, most)
+    return scored.where(f"`{name}` < 0.5").drop(name)

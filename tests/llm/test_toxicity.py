@@ -23,7 +23,7 @@ def test_gradients_against_differences(name):
     def loss():
         return float((toxicity.forward(p, gx, mask)[0] * weight).sum())
 
-    _, memo = toxicity.forward(p, gx, mask, keep=True)
+    _, memo = toxicity.forward(p, gx, mask)
     g, d_gx = toxicity.backward(p, memo, mask, weight)
     array, grad = (gx, d_gx) if name == "gx" else (p[name], g[name])
     for at in [tuple(int(rng.integers(0, n)) for n in array.shape) for _ in range(6)]:
@@ -37,10 +37,74 @@ def test_gradients_against_differences(name):
 
 
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 56, 57, 500])
-def test_windows_cover_all_words_and_overlap(n):
-    begins = toxicity.windows_of(n)
-    assert {i for b in begins for i in range(b, min(n, b + toxicity.WINDOW))} == set(range(n))
-    assert all(b - a < toxicity.WINDOW for a, b in zip(begins, begins[1:]))
+def test_stretches_own_each_word_once(n):
+    begins, own = toxicity.stretches_of(n)
+    mine = [range(o, min(n, o + toxicity.OWN)) for o in own]
+    assert [i for r in mine for i in r] == list(range(n))
+    assert all(b <= r[0] and r[-1] < b + toxicity.WINDOW for b, r in zip(begins, mine))
+
+
+def plain_grams(word):
+    flat = [1, *[c + 3 for c in word], 2]
+    out = []
+    for n in toxicity.LENGTHS:
+        for i in range(max(1, len(flat) - n + 1)):
+            h = n
+            for c in (flat[i : i + n] + [0] * n)[:n]:
+                h = (h ^ c) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            out.append(h)
+    return out
+
+
+def plain_score(model, text):
+    """The score of a text by loops over words, stretches and windows."""
+    import math
+
+    p, hidden = model["p"], toxicity.HIDDEN
+    words = [w for w in text.lower().translate(None, toxicity.STRIPPED).split()]
+    vocabulary = {w.encode(): i + 1 for i, w in enumerate(model["vocabulary"].to_pylist())}
+
+    def given(word):
+        number, grams = vocabulary.get(word, 0), plain_grams(word)
+        odds = [float(model["gram_odds"][g % toxicity.GRAMS]) for g in grams]
+        char = np.mean([p["char"][g % toxicity.CHAR_ROWS] for g in grams], axis=0)
+        return np.concatenate(([model["word_odds"][number], max(odds), sum(odds) / len(odds), number > 0, min(len(word), 20) / 10], p["word"][number], char)).astype(float)
+
+    def run(xs, k):
+        h, out = np.zeros(hidden), []
+        for x in xs:
+            s = x @ p["wx"][k].astype(float) + p["bx"][k][0]
+            zr = 1 / (1 + np.exp(-(s[: 2 * hidden] + h @ p["uz"][k])))
+            z, r = zr[:hidden], zr[hidden:]
+            n = np.tanh(s[2 * hidden :] + (r * h) @ p["un"][k])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    xs, states = [given(w) for w in words], []
+    for own in range(0, len(words), toxicity.OWN):
+        begin = max(0, own - toxicity.MARGIN)
+        part = xs[begin : begin + toxicity.WINDOW]
+        both = [np.concatenate(x) for x in zip(run(part, 0), run(part[::-1], 1)[::-1])]
+        states += both[own - begin : own - begin + toxicity.OWN]
+    logits = []
+    for i in range(max(1, len(words) - toxicity.WINDOW + 1)):
+        some = states[i : i + toxicity.WINDOW]
+        weight = np.array([math.exp(np.tanh(h @ p["wa"]) @ p["va"]) for h in some])
+        logits.append((weight / weight.sum()) @ np.array(some) @ p["wo"] + p["bo"][0])
+    a, b, c = model["final"]
+    return 1 / (1 + math.exp(-(a + b * max(logits) + c * math.log(len(logits)))))
+
+
+def test_scores_match_plain_loops():
+    texts, labels = corpus(260)
+    model = toxicity.train([t.encode() for t in texts], np.array(labels))
+    rng = random.Random(4)
+    some = [" ".join(rng.choice(texts[rng.randrange(260)].split()) for _ in range(n)) for n in (1, 2, 23, 24, 25, 31, 32, 33, 47, 48, 49, 130)]
+    some = [t.encode() for t in [*some, "É ñandú x, y! \n IDIOT zz", "a" * 300]]
+    got = toxicity.Scorer(model).scores(some)
+    assert np.abs(got - [plain_score(model, t) for t in some]).max() < 1e-4
 
 
 def corpus(n, seed=1):
@@ -98,3 +162,19 @@ def test_held_out_accuracy(spark):
     rows = toxicity.score(own, some).where("held_out").join(some, "doc_id").select("score", "predicted", "toxic").collect()
     hits = [r["predicted"] == r["toxic"] for r in rows]
     assert len(rows) > 200 and np.mean(hits) > 0.97
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1 if i % 2 else i, f"text {i % 9}") for i in range(4000)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in [1, *range(0, 4000, 2)]], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", 50).collect()
+    assert len(rows) == 50 and not any(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
+    again = toxicity.training_rows(docs.repartition(3), labels, "toxic", 50).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_clashing_columns(spark):
+    texts, labels = corpus(120)
+    docs = spark.createDataFrame([(i, t, i, "x", {"a": i}) for i, t in enumerate(texts)], "doc_id long, text string, score_ int, score string, score__ map<string,int>")
+    kept = toxicity.keep_clean(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and all(r["score_"] == r["doc_id"] and r["score__"] == {"a": r["doc_id"]} for r in kept.collect())
