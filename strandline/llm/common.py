@@ -1,51 +1,40 @@
-"""Helpers shared by the operators of this subpackage."""
+"""Helpers shared by the operators of this subpackage, with those for the shared folder."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandline.storage import materialise, shared_path as scratch
+
+__all__ = ["HOT", "WORD", "binary", "join_hot", "materialise", "remove", "scratch", "table", "worker_cache"]
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-DEFAULT_SHARED = "/tmp/checkpoints"
+#: A key is hot with more than one row in so many, and there are fewer such keys.
+HOT = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local default only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_SHARED).rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes the rows once to the shared folder and reads them back.
-
-    Unlike checkpoint(), which runs its input a second time to write it, the rows are computed once.
-    """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined to table(key, n, ...) by key, where n of rows have the key. Hot keys, fewer than HOT, are broadcast, so that their rows stay where they are."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.where(F.col(n) * HOT > total)
+    if not hot.take(1):
+        return rows.join(table, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) * HOT <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def binary(column: pa.Array) -> list[bytes | None]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.llm.common import binary, materialise
+from strandline.llm.common import binary, join_hot, materialise
 from strandline.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -203,15 +203,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, blocks: in
     A null doc_id stays; where a component has no other, its component_id is null. Other columns are ignored.
     """
     prints = materialise(with_fingerprint(docs, width), "fingerprints")
-    folded = prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
+    folded = prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n"))
     shards = folded.select(F.explode(block_keys(F.col("fp"), radius, blocks)).alias("shard"), "fp")
     links = shard_links(shards.repartition("shard").sortWithinPartitions("shard"), radius)
     roots = connected_components(links)
-    labelled = folded.join(roots, folded.fp == roots.node, "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
+    labelled = folded.join(roots, folded.fp == roots.node, "left").select("fp", "least_doc", "n", F.coalesce("root", "fp").alias("root"))
     labelled = materialise(labelled, "roots")
     least = labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialise(labelled.join(least, "root").select("fp", "n", "component_id"), "named")
+    return join_hot(prints, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:

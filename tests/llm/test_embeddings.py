@@ -29,7 +29,7 @@ def plain(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile,axes", [(16, 4), (2048, 8)])
+@pytest.mark.parametrize("tile,axes", [(16, 4), (512, 10)])
 def test_against_brute_force(spark, monkeypatch, tile, axes):
     monkeypatch.setattr(embeddings, "LEAF", 8)
     rng = np.random.default_rng(tile)
@@ -43,17 +43,50 @@ def test_against_brute_force(spark, monkeypatch, tile, axes):
     assert got == plain(rows, 0.95)
 
 
-def test_far_tiles_are_skipped(spark):
+def sides_of(spark, vectors, tile, sides=8, axes=4):
+    width = len(vectors[0])
+    classes = spark.createDataFrame([(i, 1, v) for i, v in enumerate(vectors)], "cls long, n long, embedding array<double>")
+    basis, centre = embeddings.principal_axes(classes, width, axes)
+    cut = embeddings.intervals(embeddings.tiles(classes, basis, centre, width, math.sqrt(0.1), tile).persist(), width, tile, sides).persist()
+    return cut, basis
+
+
+def test_far_sides_are_skipped(spark):
     rng = np.random.default_rng(3)
     spots = np.eye(6)
-    rows = [(i, (spots[i % 6] + rng.normal(scale=0.01, size=6)).tolist()) for i in range(600)]
-    classes = spark.createDataFrame([(i, 1, v) for i, v in rows], "cls long, n long, embedding array<double>")
-    basis = embeddings.principal_axes(classes, 6, 4)
-    eps = math.sqrt(0.1)
-    cut = embeddings.tiles(classes, basis, 6, eps, 50).persist()
-    n = cut.count()
-    pairs = embeddings.near_tiles(cut, 4, eps).count()
+    cut, _ = sides_of(spark, [(spots[i % 6] + rng.normal(scale=0.01, size=6)).tolist() for i in range(600)], 10, 40)
+    n = cut.select("side").distinct().count()
+    pairs = embeddings.near_sides(embeddings.boxes(cut, cut.side, 4), 4, math.sqrt(0.1)).count()
     assert n <= pairs < n * (n + 1) / 2 / 2
+    numbers = sorted(r["tile"] for r in cut.select("tile").collect())
+    assert numbers == list(range(len(numbers)))
+
+
+def test_evenly_spread_vectors(spark, monkeypatch):
+    """A tile is sent to at most as many tasks as there are intervals, and few pairs get past the bound on the leading axes."""
+    rng = np.random.default_rng(8)
+    sent = {}
+    for n in (600, 3000):
+        vectors = rng.normal(size=(n, 64)).tolist()
+        cut, basis = sides_of(spark, vectors, 64, axes=16)
+        n_tiles = cut.count()
+        pairs = embeddings.near_sides(embeddings.boxes(cut, cut.side, 16), 16, math.sqrt(0.1))
+        assert pairs.count() <= 36
+        per = {r["side"]: r["count"] for r in cut.groupBy("side").count().collect()}
+        sent[n] = sum(per[r["pa"]] + (per[r["pb"]] if r["pa"] != r["pb"] else 0) for r in pairs.collect()) / n_tiles
+        assert sent[n] <= 8
+        if n == 600:
+            monkeypatch.setattr(embeddings, "LEAF", 64)
+            side = embeddings.Side(sorted((r.asDict() for r in cut.collect()), key=lambda r: r["tile"]), basis)
+            assert (side.bound @ side.bound.T >= 0.95 - embeddings.SLACK).sum() < n + 0.01 * n * n
+            assert np.all(side.bound.astype(float) @ side.bound.T.astype(float) >= side.unit @ side.unit.T - 1e-6)
+    assert sent[3000] <= 1.2 * sent[600]
+
+
+def test_a_common_vector(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(5000 + i, [float(i % 70), 1.0, -2.0]) for i in range(700)]
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(out) == 3700 and all(out[i]["n_links"] == 2999 and out[i]["component_id"] == 0 for i in range(3000))
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, "x")], [(None, [1.0, 2.0], "x"), (3, [1.0, 2.0], "y"), (3, [1.0, 2.0], "z")]])
