@@ -27,7 +27,7 @@ CLASSES = {
     "symbol": b"#*$%&|<>",
 }
 SYMBOLS, BLANK, STRIPPED = b"#*$%&|<>", b" \t\n\v\f\r", b".,;:!?'\"()"
-#: Frequent words of a language, languages with a reference, words of a text below which divergence isn't judged.
+#: Frequent words of a language, languages whose references go to all tasks, words of a text below which divergence isn't judged.
 COMMON, LANGUAGES, LEAST_WORDS = 48, 256, 100
 #: Limits of the distances (square roots of divergences in bits) for long texts, and what a text of n words adds: slack / sqrt(n).
 CHAR_LIMIT, WORD_LIMIT, SLACK = 0.2, 0.32, 1.0
@@ -85,11 +85,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, each.sum() / 2)))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each language, of all docs: character classes, its frequent words' numbers, and their counts with the rest last.
-
-    A row for each of COMMON words and of the classes of at most LANGUAGES languages comes to the driver.
-    """
+def references(docs: DataFrame) -> DataFrame:
+    """A row for each language of docs that has words: (lang, total, entries), its words in all and (word, n) of its COMMON most frequent ones and, behind a line end, of its character classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -120,20 +117,22 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
     counts = materialise(texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     line = F.substring("word", 1, 1) == F.lit(b"\n")
     total = counts.where(~line).groupBy("lang").agg(F.sum("n").alias("total"))
-    largest = total.orderBy(F.desc("total"), "lang").limit(LANGUAGES)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.where(~line).withColumn("rank", rank).where(F.col("rank") <= COMMON).drop("rank")
-    rows = top.unionByName(counts.where(line)).join(F.broadcast(largest), "lang").collect()
-    out: dict = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], -r["n"], bytes(r["word"]))):
-        classes, index, n = out.setdefault(r["lang"], (np.zeros(N_CLASSES), {}, [r["total"]]))
-        word = bytes(r["word"])
+    entries = top.unionByName(counts.where(line)).groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("entries"))
+    return materialise(total.join(entries, "lang"), "references")
+
+
+def reference(total: int, entries: list[tuple[bytes, int]]) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    """Of a row of references(): character classes, the frequent words' numbers, and their counts with the rest last."""
+    classes, index, n = np.zeros(N_CLASSES), {}, []
+    for word, count in sorted(entries, key=lambda e: (-e[1], e[0])):
         if word[:1] == b"\n":
-            classes[int(word[1:])] = r["n"]
+            classes[int(word[1:])] = count
         else:
             index[word] = len(index)
-            n.append(r["n"])
-    return {k: (c, i, np.array([*n[1:], n[0] - sum(n[1:])], dtype=float)) for k, (c, i, n) in out.items()}
+            n.append(count)
+    return classes, index, np.array([*n, total - sum(n)], dtype=float)
 
 
 def measure(docs: DataFrame, least_words: int = LEAST_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
@@ -141,16 +140,20 @@ def measure(docs: DataFrame, least_words: int = LEAST_WORDS, char_limit: float =
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
     Null, empty and blank texts have no words and fail. A text of fewer than `least_words` words that doesn't fail is kept,
-    its distances null; so is every such text where no language has a reference. A text is held against its language, or
-    against the nearest if its language is null or has no reference. Repeated rows each count; other columns are ignored.
+    its distances null; so is every such text where no language has a reference. A text is held against its language. A text
+    without one is held against the nearest of the LANGUAGES languages with most words. Repeated rows each count; other
+    columns are ignored. The references of these LANGUAGES go to all tasks; texts of any further language meet theirs in a join.
     """
-    held = references(docs)
+    known = references(docs)
+    largest = known.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()
+    held = {r["lang"]: reference(r["total"], [(bytes(e["word"]), e["n"]) for e in r["entries"]]) for r in largest}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         for b in batches:
             counts, failed, chars, common, kept = [], [], [], [], []
-            for lang, text in zip(b.column(1).to_pylist(), binary(b.column(2)), strict=True):
+            brought = [None] * b.num_rows if b.num_columns == 3 else zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+            for lang, text, own_reference in zip(b.column(1).to_pylist(), binary(b.column(2)), brought, strict=True):
                 text = text or b""
                 words = text.split()
                 classes, by = class_counts(text)
@@ -160,7 +163,12 @@ def measure(docs: DataFrame, least_words: int = LEAST_WORDS, char_limit: float =
                 c = w = None
                 if held and n >= least_words:
                     own = plain_words(text)
-                    c, w = min((_distances(classes, own, held[k]) for k in ([lang] if lang in held else held)), key=sum)
+                    if own_reference and own_reference[1]:
+                        total, entries = own_reference
+                        against = [reference(total, [(e["word"], e["n"]) for e in entries])]
+                    else:
+                        against = [held[lang]] if lang in held else held.values()
+                    c, w = min((_distances(classes, own, r) for r in against), key=sum)
                 wider = SLACK / np.sqrt(max(n, 1))
                 failed.append(bad)
                 chars.append(c)
@@ -171,7 +179,14 @@ def measure(docs: DataFrame, least_words: int = LEAST_WORDS, char_limit: float =
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "base_failed", "char_distance", "word_distance", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    if len(largest) < LANGUAGES:
+        return rows.mapInArrow(run, schema)
+    further = known.join(F.broadcast(known.sparkSession.createDataFrame([(k,) for k in held], "lang string")), "lang", "left_anti")
+    among = rows.where(F.col("lang").isNull() | F.col("lang").isin(list(held)))
+    # a text without words may have a language without reference
+    others = rows.where(~F.col("lang").isin(list(held))).join(further, "lang", "left").select("doc_id", "lang", "text", "total", "entries")
+    return among.mapInArrow(run, schema).unionByName(others.mapInArrow(run, schema))
 
 
 def _distances(classes: np.ndarray, words: list[bytes], reference: tuple) -> tuple[float, float]:

@@ -51,3 +51,81 @@ def test_edges(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept boolean")
     out = quality.measure(docs).collect()
     assert len(out) == len(rows) and all(r["base_failed"] and not r["kept"] for r in out)
+
+
+def plain_references(rows):
+    from collections import Counter
+
+    out = {}
+    for _, text, lang in rows:
+        if lang is not None and text:
+            words, classes = out.setdefault(lang, (Counter(), Counter()))
+            words.update(plain_words(text))
+            classes.update(plain_classes(text))
+    return {k: v for k, v in out.items() if v[0]}
+
+
+def plain_words(text):
+    kept = "".join(c.lower() if c.isascii() else c for c in text if c not in ".,;:!?'\"()")
+    return re.findall(r"[^\x20\x09-\x0D]+", kept)
+
+
+def plain_classes(text):
+    names = {c: k for k, cs in quality.CLASSES.items() for c in cs.decode()}
+    return [names.get(c, "other") for c in text]
+
+
+def plain_distance(p, q):
+    import math
+
+    a, b = sum(p.values()), sum(q.values())
+    total = 0.0
+    for k in p.keys() | q.keys():
+        x, y = p.get(k, 0) / a, q.get(k, 0) / b
+        m = (x + y) / 2
+        total += (x * math.log2(x / m) if x else 0) + (y * math.log2(y / m) if y else 0)
+    return math.sqrt(max(0.0, total / 2))
+
+
+def plain_measure(rows, least=100):
+    from collections import Counter
+
+    known = plain_references(rows)
+    largest = sorted(known, key=lambda k: (-known[k][0].total(), k))[: quality.LANGUAGES]
+    out = {}
+    for i, text, lang in rows:
+        base = plain(text)
+        c = w = None
+        if known and base[0] >= least:
+            found = []
+            for k in [lang] if lang in known else largest:
+                words, classes = known[k]
+                often = dict(sorted(words.items(), key=lambda e: (-e[1], e[0].encode()))[: quality.COMMON])
+                own, rest = Counter(x if x in often else None for x in plain_words(text)), words.total() - sum(often.values())
+                found.append((plain_distance(Counter(plain_classes(text)), classes), plain_distance(own, {**often, None: rest}) if own else 1.0))
+            c, w = min(found, key=sum)
+        wider = quality.SLACK / max(base[0], 1) ** 0.5
+        kept = not base[5] and (c is None or (c <= quality.CHAR_LIMIT + wider and w <= quality.WORD_LIMIT + wider))
+        out[i] = (c, w, kept)
+    return out
+
+
+@pytest.mark.parametrize("languages", [256, 2, 1])
+def test_distances_against_plain_code(spark, monkeypatch, languages):
+    """However few references are broadcast, a text is held against its own language."""
+    monkeypatch.setattr(quality, "LANGUAGES", languages)
+    rng = random.Random(9)
+    stems = {k: ["".join(rng.choice("abcdeféñ") for _ in range(rng.randint(1, 6))) for _ in range(90)] for k in ("aa", "bb", "cc", "dd")}
+
+    def text(k, n):
+        return "".join(rng.choice(stems[k]).title() + rng.choice([" ", ". ", " #", "\n", ", "]) for _ in range(n))
+
+    rows = [(i, text(k, rng.choice([60, 120, 300])), k) for i, k in enumerate(["aa"] * 14 + ["bb"] * 9 + ["cc"] * 6 + ["dd"] * 3)]
+    rows += [(50, text("bb", 200), None), (51, text("aa", 200), "cc"), (52, "", "ee"), (53, None, None), (54, " \n", "ff"), (55, "zq9 " * 40 + text("dd", 120), "dd")]
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    want = plain_measure(rows)
+    assert len(got) == len(rows)
+    for i, (c, w, kept) in want.items():
+        r = got[i]
+        assert (r["char_distance"] is None) == (c is None) and r["kept"] == kept
+        assert c is None or (abs(r["char_distance"] - c) < 1e-9 and abs(r["word_distance"] - w) < 1e-9)
