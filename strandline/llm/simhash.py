@@ -181,7 +181,7 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
         for b in batches:
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
             rows += b.num_rows
-            if rows >= SHARD_ROWS:
+            if rows >= SHARD_ROWS and held[0][0][0] != held[-1][0][-1]:
                 shard, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
                 if cut:
