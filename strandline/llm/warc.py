@@ -14,15 +14,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandline.llm.common import scratch
+from strandline.llm.common import join_hot, materialise, scratch
 
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Payloads below this many bytes are never revisited; records in an archive, which bounds what one reader holds.
-LEAST_REVISITED, ARCHIVE_RECORDS = 1000, 16_384
+#: Payloads below this many bytes are never revisited; what the pages of one archive hold at most, if no page is larger.
+LEAST_REVISITED, ARCHIVE_BYTES = 1000, 1 << 28
+#: Archives are written by classes of pages, by bytes of payload up to these and beyond, so that a number of records bounds an archive's bytes.
+PAGE_BYTES = (1 << 16, 1 << 20, 1 << 24)
+#: Bytes of an entry of payloads that are revisited, and of all entries if they are to be broadcast.
+ENTRY_BYTES, BROADCAST_BYTES = 1 << 9, 1 << 26
 
 RECORD_SCHEMA = (
-    "record_id string, warc_type string, concurrent_to string, target_uri string, warc_date string, refers_to_uri string, "
+    "record_id string, warc_type string, concurrent_to string, target_uri string, warc_date string, refers_to string, refers_to_uri string, "
     "payload_digest string, digest_ok boolean, payload_bytes long, http_line string, fields map<string,string>, payload binary"
 )
 
@@ -36,36 +40,57 @@ def _uuid(*parts: Column) -> Column:
 def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Column:
     """A record without the two line ends behind it. Headers with a null value are left out."""
     lines = [F.lit(f"{VERSION}\r\nWARC-Type: {kind}")]
-    lines += [F.concat(F.lit(f"{name}: "), value) for name, value in headers]
+    lines += [F.concat(F.lit(f"{name}: "), value) for name, value in headers]  # concat_ws leaves nulls out
     lines += [F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
-def page_records(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
-    """pages(page_id, url, html): a `value` for each record, three for each page. Null html is empty; a null url becomes urn:page."""
-    base = pages.select(
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.regexp_replace(F.col("url").cast("string"), r"[\x00-\x20\x7F<>]", "%20"), F.lit("urn:page")).alias("uri"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).select("*", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    same = (
-        base.where(F.col("size") >= least)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("first_id"), F.max_by("uri", "page_id").alias("first_uri"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    full = base.join(same, "digest", "left").withColumn("row", F.monotonically_increasing_id().cast("string"))
+
+
+def revisited(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
+    """(digest, first_id, first_uri, alone): payloads of at least `least` bytes that several rows have, and the row that the others revisit; alone: no other has its page_id.
+
+    Only digests are shuffled, not payloads.
+    """
+    rows = _pages(pages).where(F.col("size") >= least).groupBy("digest", "page_id").agg(F.min("uri").alias("uri"), F.count("*").alias("n"))
+    first = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri", "n"))).alias("first")
+    some = rows.groupBy("digest").agg(F.sum("n").alias("n"), first).where("n > 1 and first is not null")
+    return some.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.uri").alias("first_uri"), (F.col("first.n") == 1).alias("alone"))
+
+
+def page_records(pages: DataFrame, least: int = LEAST_REVISITED, same: DataFrame | None = None) -> DataFrame:
+    """pages(page_id, url, html): a `value` for each record, three for each page. Null html is empty; a null url becomes urn:page.
+
+    same: revisited(pages), written. A response that is the only row of its page has an id by page and digest, which
+    revisits name in WARC-Refers-To; others have ids by row. Pages meet `same` by digest: it is broadcast if it is small,
+    else they are shuffled, but for those too short to be in it.
+    """
+    same = materialise(revisited(pages, least), "revisited") if same is None else same
+    base = _pages(pages).withColumn("row", F.monotonically_increasing_id().cast("string"))
+    if same.count() * ENTRY_BYTES <= BROADCAST_BYTES:
+        full = base.join(F.broadcast(same), "digest", "left")
+    else:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in same.schema.fields if f.name != "digest"]
+        full = base.where(F.col("size") >= least).join(same, "digest", "left").unionByName(base.where(F.col("size") < least).select("*", *none))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    own = {kind: _uuid(F.lit(kind), page, F.col("digest"), F.col("row")) for kind in ("response", "request", "metadata")}
+    is_first = F.coalesce(F.col("alone") & (F.col("page_id") == F.col("first_id")), F.lit(False))
+    told = F.when(is_first, F.lit("first")).otherwise(F.col("row"))
+    own = {kind: _uuid(F.lit(kind), page, F.col("digest"), told) for kind in ("response", "request", "metadata")}
+    first = F.when(F.col("alone"), _uuid(F.lit("response"), F.col("first_id").cast("string"), F.col("digest"), F.lit("first")))
     uri, date, digest = F.col("uri"), F.lit(DATE), F.concat(F.lit("sha1:"), F.col("digest"))
     revisit = F.coalesce(F.col("first_id") != F.coalesce(F.col("page_id"), F.col("first_id") - 1), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     head = [("WARC-Record-ID", own["response"]), ("WARC-Target-URI", uri), ("WARC-Date", date)]
     message = [("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))]
     response = _record("response", head + message, F.concat(http, F.col("html")))
-    refers = [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To-Target-URI", F.col("first_uri")), ("WARC-Refers-To-Date", date)]
-    revisited = _record("revisit", head + message + refers, http)
+    refers = [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", first), ("WARC-Refers-To-Target-URI", F.col("first_uri")), ("WARC-Refers-To-Date", date)]
+    again = _record("revisit", head + message + refers, http)
     beside = [("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Concurrent-To", own["response"])]
     request = _record(
         "request",
@@ -77,10 +102,22 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
         [("WARC-Record-ID", own["metadata"]), *beside, ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("pageId: "), page, F.lit("\r\n")),
     )
-    return full.select(F.explode(F.array(request, F.when(revisit, revisited).otherwise(response), metadata)).alias("value"))
+    return full.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
+
+
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISITED, page_bytes: tuple[int, ...] = PAGE_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes the records of pages as gzipped archives, whose pages hold at most archive_bytes, or one page if that is larger."""
+    same = materialise(revisited(pages, least), "revisited")
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    below = -1
+    for limit in (*(x for x in page_bytes if x < largest), largest):
+        some = pages.where((size > below) & (size <= limit))
+        write_records(page_records(some, least, same), f"{path}/to-{limit}", 3 * max(1, archive_bytes // max(limit, 1)) if limit > page_bytes[0] else 3 * archive_bytes // page_bytes[0])
+        below = limit
 
 
-def write_archives(records: DataFrame, path: str, per_archive: int = ARCHIVE_RECORDS) -> None:
+def write_records(records: DataFrame, path: str, per_archive: int) -> None:
     """Writes `value`s as gzipped archives; the writer's line separator is the two line ends that close a record."""
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
@@ -101,7 +138,7 @@ def parse(stream: io.BufferedIOBase, with_payload: bool) -> Iterator[dict]:
         out = {
             "record_id": headers.get("warc-record-id"), "warc_type": kind, "concurrent_to": headers.get("warc-concurrent-to"),
             "target_uri": headers.get("warc-target-uri"), "warc_date": headers.get("warc-date"),
-            "refers_to_uri": headers.get("warc-refers-to-target-uri"), "payload_digest": digest, "digest_ok": None,
+            "refers_to": headers.get("warc-refers-to"), "refers_to_uri": headers.get("warc-refers-to-target-uri"), "payload_digest": digest, "digest_ok": None,
             "payload_bytes": None, "http_line": None, "fields": [], "payload": None,
         }
         if kind in ("request", "response", "revisit"):
@@ -141,29 +178,28 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(run, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each response or revisit: (capture_id, target_uri, response, requests, metadata).
 
-    Requests and metadata join along WARC-Concurrent-To, which names the response; they are lists in the order of their
-    record ids, empty where a capture has none. Records that name an absent response make no capture.
+    Requests and metadata belong to the response that WARC-Concurrent-To names: a capture's records meet once, by that id or,
+    the response, by its own. requests and metadata are lists in the order of record ids, empty where a capture has none.
+    Records that name an absent response make no capture; of several responses with one id the first is taken.
     """
-    main = records.where(F.col("warc_type").isin("response", "revisit")).select(
-        F.col("record_id").alias("capture_id"),
-        "target_uri",
-        F.struct("warc_type", "warc_date", "refers_to_uri", "payload_digest", "digest_ok", "payload_bytes", "http_line", "payload").alias("response"),
+    kind = F.col("warc_type")
+    main = F.struct("target_uri", F.struct("warc_type", "warc_date", "refers_to", "refers_to_uri", "payload_digest", "digest_ok", "payload_bytes", "http_line", "payload").alias("response"))
+    beside = F.struct("record_id", "http_line", F.array_sort(F.map_entries("fields")).alias("fields"))
+    is_main = kind.isin("response", "revisit")
+    own = records.where(is_main | (kind.isin("request", "metadata") & F.col("concurrent_to").isNotNull()))
+    held = own.groupBy(F.when(is_main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id")).agg(
+        F.first(F.when(is_main, main), ignorenulls=True).alias("main"),
+        F.sort_array(F.collect_list(F.when(kind == "request", beside))).alias("requests"),
+        F.sort_array(F.collect_list(F.when(kind == "metadata", beside))).alias("metadata"),
     )
-
-    def beside(kind: str, name: str) -> DataFrame:
-        own = records.where((F.col("warc_type") == kind) & F.col("concurrent_to").isNotNull())
-        held = F.sort_array(F.collect_list(F.struct("record_id", "http_line", F.array_sort(F.map_entries("fields")).alias("fields"))))
-        return own.groupBy(F.col("concurrent_to").alias("capture_id")).agg(held.alias(name))
-
-    out = main.join(beside("request", "requests"), "capture_id", "left").join(beside("metadata", "metadata"), "capture_id", "left")
-    return out.withColumn("requests", F.coalesce("requests", F.array())).withColumn("metadata", F.coalesce("metadata", F.array()))
+    return held.where("main is not null").select("capture_id", "main.target_uri", "main.response", "requests", "metadata")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
@@ -171,28 +207,35 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
 
     Returns (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, digest_ok), a row for each page.
     Null and empty html have an empty payload. Of equal payloads of at least `least` bytes those with the largest
-    page_id are responses (repeated rows all of them, a null page_id never), the others revisit it. Other columns are ignored.
+    page_id are responses (repeated rows all of them, a null page_id never, unless no row has one: all are), the others
+    revisit it. refers_to follows the record id that the archive holds; a revisit without, where the response's page_id
+    repeats, goes by its payload's digest. Other columns are ignored. Archives are parsed once, payloads digested there.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
-    write_archives(page_records(pages, least), path)
-    records = read_archives(spark, path, with_payload=False)
-    captures = assemble(records)
+    write_archives(pages, path, least)
+    records = materialise(read_archives(spark, path, with_payload=False), "records")
     page = F.filter(F.flatten(F.transform("metadata", lambda m: m["fields"])), lambda e: e["key"] == "pageId")
-    flat = captures.select(
-        F.get(page, F.lit(0))["value"].try_cast("long").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.warc_type").alias("record_type"),
-        "target_uri",
-        F.col("response.digest_ok").alias("digest_ok"),
-    )
-    found = (
-        flat.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least))
-        .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("first_id"))
+    flat = materialise(
+        assemble(records).select(
+            "capture_id",
+            F.get(page, F.lit(0))["value"].try_cast("long").alias("page_id"),
+            F.col("response.payload_bytes").alias("payload_bytes"),
+            F.col("response.payload_digest").alias("payload_digest"),
+            F.col("response.warc_type").alias("record_type"),
+            F.col("response.refers_to").alias("target"),
+            "target_uri",
+            F.col("response.digest_ok").alias("digest_ok"),
+        ),
+        "captures",
     )
-    return flat.join(found, "payload_digest", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type",
-        F.when(F.col("record_type") == "revisit", F.col("first_id")).alias("refers_to"), "target_uri", "digest_ok",
-    )
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok"]
+    is_revisit = F.col("record_type") == "revisit"
+    plain = flat.where(~is_revisit).withColumn("refers_to", F.lit(None).cast("long")).select(*out)
+    again = flat.where(is_revisit)
+    named = again.groupBy("target").agg(F.count("*").alias("n")).join(flat.select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")), "target")
+    found = join_hot(again.where("target is not null"), named, "target", "n").select(*out)
+    counts = again.where("target is null").groupBy("payload_digest").agg(F.count("*").alias("n"))
+    first = flat.where(~is_revisit & (F.col("payload_bytes") >= least)).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"))
+    rest = join_hot(again.where("target is null"), counts.join(first, "payload_digest"), "payload_digest", "n").select(*out)
+    return plain.unionByName(found).unionByName(rest)
