@@ -1,4 +1,4 @@
-"""Joins. Physical strategies are left to the planner; sides are broadcast only where a row count proves them small."""
+"""Joins. Physical strategies are left to the planner, which broadcasts a side by its bytes as estimated or, at run time, as measured."""
 
 from __future__ import annotations
 
@@ -6,15 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows of a lookup table up to which it is broadcast by hint; larger ones are joined as the planner sees fit.
-LOOKUP_ROWS = 100_000
-
-
-def lookup_side(table: DataFrame) -> DataFrame:
-    """table, with a broadcast hint if it is counted to be small."""
-    return F.broadcast(table) if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else table
-
-
 def inner(left: DataFrame, right: DataFrame, on: str | list[str], required: tuple[str, ...] = ()) -> DataFrame:
     """Rows with equal keys, without those in which a required column is null."""
     return reduce(lambda d, c: d.where(F.col(c).isNotNull()), required, left.join(right, on))
@@ -42,7 +33,7 @@ def left_with_list(left: DataFrame, lists: DataFrame, on: str, items: str, k: in
 
 def lookup(df: DataFrame, table: DataFrame, on: str, defaults: dict[str, object]) -> DataFrame:
     """A lookup join; keys without an entry have the defaults."""
-    return df.join(lookup_side(table), on, "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+    return df.join(table, on, "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
 def cost(tokens_in: Column, tokens_out: Column, in_price: Column, out_price: Column, unit: float = 1e6) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import WindowSpec
 
 from strandline.storage import materialise
@@ -78,26 +82,36 @@ def running_stop(df: DataFrame, keys: list[str], order: list[Column], cost: Colu
     return out.withColumn("counted", F.col("running") - cost < limit).withColumn("written", F.col("running") < limit)
 
 
-def budget_fill(df: DataFrame, key: str, order: list[str], size: str, budget: int, payload: list[str]) -> DataFrame:
-    """In order, a row of a key is taken if it leaves the sum below the budget, else skipped. Returns the taken rows.
+def _in_order(df: DataFrame, key: str, order: list[str], size: str, payload: list[str], begin: tuple, step: Callable[[tuple, int], tuple[tuple, object]], result: str, kind: str) -> DataFrame:
+    """df(key, order, payload, size) with a column that a fold in order gives each row of a key.
 
-    A fold over each key's rows: they are gathered as narrow structs, so keep payloads to ids and join the rest back.
+    Rows are dealt by key and sorted; each task goes through its rows once, batch by batch, and holds one state, however many rows a key has.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("size_"), *payload)))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<int>)").alias("taken"), F.lit(0).alias("at"))
+    names = list(dict.fromkeys([key, *order, *payload]))
+    rows = df.select(*names, F.col(size).cast("long").alias(size)).repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), begin
+        for b in batches:
+            found = []
+            for k, n in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if k != last:
+                    last, state = k, begin
+                state, value = step(state, n)
+                found.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.bool_() if kind == "boolean" else pa.int32())], names=[*b.schema.names, result])
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["sum"] + x["size_"] < budget
-        return F.struct(
-            F.when(fits, acc["sum"] + x["size_"]).otherwise(acc["sum"]).alias("sum"),
-            F.when(fits, F.array_append(acc["taken"], acc["at"])).otherwise(acc["taken"]).alias("taken"),
-            (acc["at"] + 1).alias("at"),
-        )
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(result, _parse_datatype_string(kind))]))
 
-    held = df.groupBy(key).agg(rows.alias("rows_"))
-    taken = held.select(key, "rows_", F.aggregate("rows_", zero, step, lambda a: a["taken"]).alias("taken_"))
-    each = taken.select(key, F.explode(F.transform("taken_", lambda i: F.element_at("rows_", i + 1))).alias("r"))
-    return each.select(key, *[F.col(f"r.{c}").alias(c) for c in dict.fromkeys([*order, *payload])], F.col("r.size_").alias(size))
+
+def budget_fill(df: DataFrame, key: str, order: list[str], size: str, budget: int, payload: list[str]) -> DataFrame:
+    """In order, a row of a key is taken if it leaves the sum below the budget, else skipped. Returns the taken rows; a null size never fits."""
+
+    def step(state: tuple, n: int | None) -> tuple[tuple, object]:
+        fits = n is not None and state[0] + n < budget
+        return ((state[0] + n,) if fits else state), fits
+
+    return _in_order(df, key, order, size, payload, (0,), step, "taken_", "boolean").where("taken_").drop("taken_")
 
 
 def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], important: Column, size: Column, budget: int) -> DataFrame:
@@ -109,19 +123,16 @@ def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], important
 
 
 def chunk_greedy(df: DataFrame, key: str, order: list[str], size: str, capacity: int, payload: list[str]) -> DataFrame:
-    """In order, a new chunk of a key is opened when a row would overflow a chunk that holds something. Returns the rows with `chunk`, from 0."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("size_"), *payload)))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("chunk"), F.expr("cast(array() as array<int>)").alias("chunks"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = (acc["sum"] > 0) & (acc["sum"] + x["size_"] > capacity)
-        chunk = F.when(opens, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(F.when(opens, x["size_"]).otherwise(acc["sum"] + x["size_"]).alias("sum"), chunk.alias("chunk"), F.array_append(acc["chunks"], chunk).alias("chunks"))
-
-    held = df.groupBy(key).agg(rows.alias("rows_"))
-    dealt = held.select(key, F.arrays_zip(F.col("rows_").alias("r"), F.aggregate("rows_", zero, step, lambda a: a["chunks"]).alias("chunk")).alias("z"))
-    each = dealt.select(key, F.explode("z").alias("z")).select(key, F.col("z.r").alias("r"), F.col("z.chunk").alias("chunk"))
-    return each.select(key, *[F.col(f"r.{c}").alias(c) for c in dict.fromkeys([*order, *payload])], F.col("r.size_").alias(size), "chunk")
+    """In order, a new chunk of a key is opened when a row would overflow a chunk that holds something. Returns the rows with `chunk`, from 0; a null size counts 0."""
+
+    def step(state: tuple, n: int | None) -> tuple[tuple, object]:
+        held, chunk = state
+        n = n or 0
+        opens = held > 0 and held + n > capacity
+        state = (n, chunk + 1) if opens else (held + n, chunk)
+        return state, state[1]
+
+    return _in_order(df, key, order, size, payload, (0, 0), step, "chunk", "int")
 
 
 def number_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.functions import extract, scalars
 from strandline.operators import aggregates, joins, predicates, setops, sorting, transitions, windows
+from strandline.registry import ORACLE_SQL, QUERIES, load, query
 from strandline.storage import shared_path
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    def keep(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # --- transitions
 
-#: Tests of events: the first two days stand for "pre", the last two for "post".
-PRE, POST = "2024-01-03", "2024-01-29"
+#: Tests of events: those before this day stand for "pre", the others for "post".
+POST = "2024-01-16"
 STATUS_SQL = "CASE WHEN value < 25 THEN 'FAILED' WHEN value < 35 THEN 'ERROR' WHEN value < 45 THEN 'SKIPPED' ELSE 'PASSED' END"
 RESULTS_SQL = f"""results AS (
-  SELECT event_type AS project, user_id % 10 AS instance, user_id AS test, CASE WHEN ts < TIMESTAMP '{PRE}' THEN 'pre' ELSE 'post' END AS phase, event_id AS pos, {STATUS_SQL} AS status
-  FROM events WHERE ts < TIMESTAMP '{PRE}' OR ts >= TIMESTAMP '{POST}'
+  SELECT event_type AS project, user_id % 10 AS instance, user_id AS test, CASE WHEN ts < TIMESTAMP '{POST}' THEN 'pre' ELSE 'post' END AS phase, event_id AS pos, {STATUS_SQL} AS status
+  FROM events
 ), last AS (
   SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY project, instance, test, phase ORDER BY pos DESC) = 1
 ), joined AS (
@@ -66,10 +50,9 @@ STATS_SQL = "count(*) AS instances, " + ", ".join(
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     status = F.when(v < 25, "FAILED").when(v < 35, "ERROR").when(v < 45, "SKIPPED").otherwise("PASSED")
-    rows = load(spark, sf_dir, "events").where(f"ts < '{PRE}' or ts >= '{POST}'")
-    return rows.select(
+    return load(spark, sf_dir, "events").select(
         F.col("event_type").alias("project"), (F.col("user_id") % 10).alias("instance"), F.col("user_id").alias("test"),
-        F.when(F.col("ts") < PRE, "pre").otherwise("post").alias("phase"), F.col("event_id").alias("pos"), status.alias("status"),
+        F.when(F.col("ts") < POST, "pre").otherwise("post").alias("phase"), F.col("event_id").alias("pos"), status.alias("status"),
     )
 
 
@@ -813,9 +796,9 @@ def modified_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     path = F.concat(F.lit("src/M"), F.col("event_id").cast("string"), F.when(kind == "view", ".kt").when(kind == "click", ".java").otherwise(".py"))
     line = F.when(kind == "view", F.concat(F.lit("+    fun run"), user, F.lit("(a: Int) {"))).when(kind == "click", F.concat(F.lit("+    public static int run"), user, F.lit("(int a) {")))
-    line = line.otherwise(F.concat(F.lit("+def run"), user, F.lit("(a):")))
+    line = line.when(kind == "error", F.concat(F.lit("+def run"), user, F.lit("(a):"))).otherwise("+run = call(a)")
     patch = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n fun kept() {\n-fun gone() {\n+ if (x) {\n"), line, F.lit("\n"))
-    rows = load(spark, sf_dir, "events").where(kind.isin("view", "click", "error")).select("event_id", patch.alias("patch"))
+    rows = load(spark, sf_dir, "events").select("event_id", patch.alias("patch"))
     return extract.modified_methods(rows, "patch", ["event_id"])
 
 
@@ -834,15 +817,17 @@ def patch_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", predicates.patch_format(patch).alias("f")).select("event_id", "f.valid", "f.reason")
 
 
-@query("""SELECT user_id, min(event_id) AS event_id, '+line ' || min(event_id) || chr(10) AS patch FROM events GROUP BY user_id""")
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'diff --git a/x b/x' || chr(10) || '+' || event_id || chr(10) WHEN 'click' THEN 'diff --git a/x b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+' || event_id || chr(10)
+  WHEN 'error' THEN 'diff --git a/y b/y' || chr(10) || '--- a/y' || chr(10) || '+++ b/y' || chr(10) || '+' || event_id || chr(10) || ' kept' || chr(10) ELSE '+line ' || event_id || chr(10) END AS patch FROM events""")
 def best_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.functions import parsers
 
-    first = load(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    line = F.concat(F.lit("+line "), F.col("event_id").cast("string"))
-    answer = F.concat(F.lit("I think\n"), line, F.lit("\nis the fix"))
-    found = first.withColumn("patch", parsers.best_patch(answer))
-    return found.select("user_id", "event_id", "patch")
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    fenced = F.concat(F.lit("so\n```diff\ndiff --git a/x b/x\n+"), number, F.lit("\n```\nthat is it"))
+    bare = F.concat(F.lit("say\ndiff --git a/x b/x\n@@ -1 +1 @@\n+"), number, F.lit("\nbye\nbye\nbye\n+ not part"))
+    headed = F.concat(F.lit("say\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n+"), number, F.lit("\n kept\none\ntwo\nthree\nfour"))
+    answer = F.when(kind == "view", fenced).when(kind == "click", bare).when(kind == "error", headed).otherwise(F.concat(F.lit("I think\n+line "), number, F.lit("\nis the fix")))
+    return load(spark, sf_dir, "events").select("event_id", parsers.best_patch(answer).alias("patch"))
 
 
 @query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License')))::BIGINT AS n, length(text)::INTEGER - 5 AS chars FROM documents""")
@@ -891,13 +876,13 @@ def progress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 6))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size < 15 THEN '10.0.0' WHEN p_size < 30 THEN '20.0.0' ELSE '40.0.0' END AS version FROM part WHERE p_size NOT IN (15, 30)""")
+@query("""SELECT p_partkey, CASE WHEN p_size <= 15 THEN '10.0.0' WHEN p_size <= 30 THEN '20.0.0' ELSE '40.0.0' END AS version FROM part""")
 def nearest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = sorting.nearest_version(F.concat(F.col("p_size").cast("string"), F.lit(".0.0")), [(10, 0, 0), (20, 0, 0), (40, 0, 0)])
-    return load(spark, sf_dir, "part").where("p_size not in (15, 30)").select("p_partkey", version.alias("version"))
+    return load(spark, sf_dir, "part").select("p_partkey", version.alias("version"))
 
 
-@query("""SELECT p_partkey, regexp_matches(name, '^(Util|Utils|Helper|Mock)|(Util|Utils|Helper|Mock)$|^I[A-Z][a-z]') AS utility FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Mock' || p_name WHEN 1 THEN p_name || 'Utils' WHEN 2 THEN 'IThing' WHEN 3 THEN 'Item' ELSE p_name END AS name FROM part)""")
+@query("""SELECT p_partkey, regexp_matches(name, '^(Util|Utils|Helper|Mock)|(Util|Utils|Helper|Mock)$|^I[A-Z]') AS utility FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Mock' || p_name WHEN 1 THEN p_name || 'Utils' WHEN 2 THEN 'IThing' WHEN 3 THEN 'Item' ELSE p_name END AS name FROM part)""")
 def utility_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 5
     name = F.when(k == 0, F.concat(F.lit("Mock"), "p_name")).when(k == 1, F.concat("p_name", F.lit("Utils"))).when(k == 2, "IThing").when(k == 3, "Item").otherwise(F.col("p_name"))
@@ -910,3 +895,6 @@ def target_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = F.array(F.concat(module, F.lit(":testDebugUnitTest")), F.lit(":test"))
     tests = extract.inferred_tests(F.array(F.concat(F.lit("m"), F.col("p_size").cast("string"))), F.array(F.lit("C")))
     return load(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.modules_of_targets(targets), ",").alias("modules"), F.array_join(tests, ",").alias("tests"))
+
+
+from strandline import queries_files, queries_flags  # noqa: E402, F401  registers their queries

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt"
@@ -130,45 +127,28 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def until_cutoff(rows: DataFrame, order: list[Column], stamp: Column, cutoff: str, most: int | None = None) -> DataFrame:
-    """Rows in order up to and with the first that is older than the cutoff, and at most one row more than `most`.
+    """Rows in ascending order up to and with the first that is older than the cutoff or has no stamp, and at most one row more than `most`.
 
-    The log that this stands for writes a row before it tests the limits. Needs one total order, so it runs where one
-    listing is read; `partition` listings apart with a column of their own in order.
+    The log that this stands for writes a row before it tests the limits. The first such row is found by an aggregate, so
+    that no task holds the listing.
     """
-    from strandline.operators.windows import take_while
-
-    return take_while(rows, [], order, stamp >= F.lit(cutoff), inclusive=True, most=None if most is None else most + 1)
+    place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    first = rows.where(~F.coalesce(stamp >= F.lit(cutoff), F.lit(False))).agg(F.min(place).alias("first_"))
+    kept = rows.join(F.broadcast(first)).where(F.col("first_").isNull() | (place <= F.col("first_"))).drop("first_")
+    return kept if most is None else kept.orderBy(*order).limit(most + 1)
 
 
-class PagedSource(DataSource):
-    """format("pages"): recorded pages of a paged listing, one task for each page.
+def read_pages(spark: SparkSession, path: str, pattern: str = r"page[-=]([0-9]+)") -> DataFrame:
+    """(page, pos, value): the recorded pages of a paged listing, from the first to the last before one that is absent or blank.
 
-    option path: a folder in a file system that executors share, with page-N.jsonl files; option pages: their number.
-    An absent page is empty, as a listing's end is.
+    A page is the files whose path has its number, a value a line that isn't blank.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "pages"
-
-    def schema(self) -> str:
-        return "page int, pos int, value string"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return PagedReader(self.options)
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path, self.pages = options["path"].removeprefix("file://"), int(options.get("pages", 1))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(n) for n in range(1, self.pages + 1)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
-
-        name = f"{self.path}/page-{partition.value}.jsonl"
-        if os.path.exists(name):
-            with open(name, encoding="utf-8") as lines:
-                yield from ((partition.value, i, line.rstrip("\n")) for i, line in enumerate(lines) if line.strip())
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    pages = whole.select(F.regexp_extract("file", pattern, 1).try_cast("int").alias("page"), "value").where("page is not null and trim(value) <> ''")
+    numbers = pages.select("page").distinct()
+    before = numbers.select((F.col("page") + 1).alias("page"))
+    # the least page without one before it, but for the first, ends the listing
+    gap = numbers.where("page > 1").join(before, "page", "left_anti").agg(F.min("page").alias("gap_"))
+    held = pages.join(F.broadcast(gap)).where(F.col("gap_").isNull() | (F.col("page") < F.col("gap_")))
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    return held.select("page", F.posexplode(lines).alias("pos", "value"))

@@ -43,7 +43,7 @@ def write_by_entity(df: DataFrame, path: str, key: str) -> None:
 
 
 def summary_document(totals: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """One row: the totals' columns and `results`, a map from key to the rest of each row."""
+    """One row: the totals' columns and `results`, a map from key to the rest of each row. For a run's instances; the map is one value."""
     rest = [c for c in results.columns if c != key]
     held = results.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.struct(*rest).alias("result"))))).alias("results"))
     return totals.crossJoin(held)

@@ -20,6 +20,13 @@ def resume_append(items: DataFrame, path: str, key: str, schema: StructType) ->
     return spark.read.schema(schema).parquet(path)
 
 
+def run_once(df: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """Writes df unless the path has a result already, which then stays; with force it is replaced."""
+    if force or not _exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))

@@ -74,12 +74,11 @@ def test_cutoff_keeps_one_more(spark):
     assert readers.until_cutoff(df, [F.col("n")], F.col("at"), "2024-07", most=1).count() == 2
 
 
-def test_pages_source(spark, tmp_path):
+def test_pages_end_at_a_gap(spark, tmp_path):
     (tmp_path / "page-1.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     (tmp_path / "page-2.jsonl").write_text('{"a": 3}\n')
-    spark.dataSource.register(readers.PagedSource)
-    df = spark.read.format("pages").option("path", str(tmp_path)).option("pages", 3).load()
-    assert sorted((r["page"], r["pos"]) for r in df.collect()) == [(1, 0), (1, 1), (2, 0)]
+    (tmp_path / "page-4.jsonl").write_text('{"a": 4}\n')
+    assert sorted((r["page"], r["pos"]) for r in readers.read_pages(spark, str(tmp_path)).collect()) == [(1, 0), (1, 1), (2, 0)]
 
 
 def test_sinks(spark, tmp_path):
