@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from strandline.plans import reports
 from strandline.registry import load, query
@@ -11,7 +11,7 @@ from strandline.sources import readers, sinks
 from strandline.storage import shared_path
 from strandline.streaming import state
 
-NATION = StructType.fromDDL("n_nationkey int, n_name string, n_regionkey int")
+NATION = StructType([StructField("n_nationkey", IntegerType()), StructField("n_name", StringType()), StructField("n_regionkey", IntegerType())])
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
