@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -472,3 +473,63 @@ def split_binary(patch: Column) -> Column:
     mark = r"(?m)^(?:GIT binary patch|Binary files .* differ)$"
     text, binary = F.filter(parts, lambda p: ~p.rlike(mark)), F.filter(parts, lambda p: p.rlike(mark))
     return F.struct(F.array_join(text, "").alias("text"), F.array_join(binary, "").alias("binary"))
+
+
+def _rule(instance_id: Column, module: Column, value: Callable[[tuple], Column], default: Column) -> Column:
+    """The value of the first variant rule that fits."""
+    out = None
+    for part, pattern, tasks, wanted in markers.VARIANT_RULES:
+        fits = F.contains(F.lower(instance_id), F.lit(part)) & module.rlike(pattern)
+        out = F.when(fits, value((tasks, wanted))) if out is None else out.when(fits, value((tasks, wanted)))
+    return out.otherwise(default)
+
+
+def variant_tasks(instance_id: Column, module: Column) -> Column:
+    """The test tasks that a module has by the rules."""
+    return _rule(instance_id, module, lambda r: F.array(*[F.lit(t) for t in r[0]]), F.array(F.lit(markers.VARIANT_DEFAULT)))
+
+
+def variant_pick(instance_id: Column, module: Column, available: Column) -> Column:
+    """The task that the rules want if it is available; else of debug unit tests the best, those that begin as tests first; else the default."""
+    wanted = _rule(instance_id, module, lambda r: F.lit(r[1]), F.lit(markers.VARIANT_DEFAULT))
+    debug = F.filter(available, lambda v: F.contains(F.lower(v), F.lit("unittest")) & F.contains(F.lower(v), F.lit("debug")))
+    plain = F.filter(debug, lambda v: F.lower(v).startswith("test") & ~F.contains(F.lower(v), F.lit("detekt")))
+
+    def place(v: Column) -> Column:
+        low = F.lower(v)
+        has = [F.contains(low, F.lit(w)) for w in ("wordpressvanilla", "foss", "free", "full")]
+        rank = F.when(has[0], 0).when(has[1], 1).when(has[2], 2).when(~has[3], 3).otherwise(4)  # all are debug variants
+        return F.struct(rank.alias("rank"), F.length(v).alias("length"), v.alias("v"))
+
+    best = [F.array_min(F.transform(x, place))["v"] for x in (plain, debug)]
+    return F.coalesce(F.when(F.array_contains(available, wanted), wanted), *best, F.lit(markers.VARIANT_DEFAULT))
+
+
+def data_class_params(source: Column) -> Column:
+    """The constructor's parameters of the first data class, trimmed; commas inside angle brackets or parentheses don't part them."""
+    inside = F.regexp_extract(source, r"(?s)data class \w+\s*\((.*?)\)", 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("marked"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c.isin("(", "<"), 1).when(c.isin(")", ">"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.concat(acc["marked"], F.when((c == ",") & (acc["depth"] == 0), "\0").otherwise(c)).alias("marked"))
+
+    marked = F.aggregate(F.filter(F.split(inside, ""), lambda c: c != ""), zero, step, lambda a: a["marked"])
+    return F.filter(F.transform(F.split(marked, "\0"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def _param_name(param: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.substring_index(param, ":", 1), r"^\s+|\s+$", ""), "val |var ", "")
+
+
+def merge_data_class(existing: Column, stub: Column, whole: bool = True) -> Column:
+    """existing with the stub's data class parameters whose names it hasn't, put behind its own; if not whole, only the changed declaration."""
+    own = F.transform(data_class_params(existing), _param_name)
+    new = F.filter(data_class_params(stub), lambda p: ~F.array_contains(own, _param_name(p)))
+    pattern = r"(?s)^(.*?)(data class \w+\s*\([^)]*)(\).*)$"
+    before, head, behind = (F.regexp_extract(existing, pattern, i) for i in (1, 2, 3))
+    bare = F.regexp_replace(head, r"\s+$", "")
+    lead = F.when(bare.endswith("(") | bare.endswith(","), "\n    ").otherwise(",\n    ")
+    grown = F.concat(head, lead, F.array_join(new, ",\n    "), F.lit(",\n"))
+    out = F.concat(before, grown, behind) if whole else F.concat(grown, F.lit(")"))
+    return F.when((F.size(new) == 0) | (head == ""), existing).otherwise(out)

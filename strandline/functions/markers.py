@@ -88,3 +88,28 @@ LOG_NOISE = (
     r"Resolve mutations for", r".*\.gradle/caches/", r"AndroidManifest\.xml", r"transformed/.*\.xml", r"at org\.gradle\.", r"Daemon #\d+",
     r"Working directory:", r"Using Java:",
 )
+
+#: Which test tasks modules have, by a part of the instance's id and a pattern of the module, in order, and which of them is wanted.
+VARIANT_RULES = (
+    ("", r"^:app-thunderbird$|^:app-k9mail$", ("testFossDebugUnitTest", "testFullDebugUnitTest", "testFossReleaseUnitTest", "testFullReleaseUnitTest"), "testFossDebugUnitTest"),
+    ("", r"^:AnkiDroid$", ("testPlayDebugUnitTest",), "testPlayDebugUnitTest"),
+    ("", r"^:WordPress$", ("testWordpressVanillaDebugUnitTest",), "testWordpressVanillaDebugUnitTest"),
+    ("thunderbird", r"^:mail:protocols:(?:imap|smtp)$|^:feature:autodiscovery:(?:service|autoconfig)$|^:app:html-cleaner$|^:backend:imap$", ("test",), "test"),
+    (
+        "antennapod",
+        r"^:(?:model|event|storage:preferences|playback:base)$|^:ui:(?:episodes|common|app-start-intent|i18n|notifications)$|^:parser:(?:feed|media|transcript)$|^:net:sync:(?:service-interface|gpoddernet)$",
+        ("testDebugUnitTest", "testReleaseUnitTest"), "testDebugUnitTest",
+    ),
+    ("antennapod", "", ("testFreeDebugUnitTest", "testPlayDebugUnitTest"), "testFreeDebugUnitTest"),
+    ("", r"^:feature:|^:legacy:core$", ("testDebugUnitTest", "testReleaseUnitTest"), "testDebugUnitTest"),
+    ("tusky", "", ("testBlueDebugUnitTest", "testGreenDebugUnitTest", "testBlueReleaseUnitTest", "testGreenReleaseUnitTest"), "test"),
+    ("neostumbler", "", ("testFullDebugUnitTest",), "testFullDebugUnitTest"),
+)
+VARIANT_DEFAULT = "testDebugUnitTest"
+
+#: How a class begins, with its body's brace or, the last ones, with its parameters, and how its members do. Lines are trimmed.
+CLASS_BODIES = tuple(rf"^(?:(?:public|private|protected|internal)\s+)?{k}\s+\w+.*\{{" for k in ("class", "interface", r"data\s+class", "object", r"abstract\s+class"))
+CLASS_PARAMETERS = tuple(rf"^(?:(?:public|private|protected|internal)\s+)?{k}\s+\w+\s*\(" for k in (r"data\s+class", "class"))
+FIELD = r"^(?:private|protected|public)?\s+\w+(?:\[\])?\s+(\w+)\s*[=;]"
+METHOD = r"^(?:private|protected|public)?\s+(?:static\s+)?(?:\w+\s+)*(\w+)\s*\("
+CONSTANT = r"^public\s+static\s+final\s+\w+\s+(\w+)\s*="

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from strandline.functions import markers
 
@@ -73,6 +73,90 @@ def relevant_log(text: str | None, after: int = 5, summary: int = 10, least: int
     return found if len(found) >= least else found + "\n\n" + (text or "")[-tail:]
 
 
+STARTS = [(re.compile(p), "{}") for p in markers.CLASS_BODIES] + [(re.compile(p), "()") for p in markers.CLASS_PARAMETERS]
+MEMBERS = {k: re.compile(p) for k, p in (("field", markers.FIELD), ("method", markers.METHOD), ("constant", markers.CONSTANT))}
+COMMENT = ("//", "*")
+
+
+def _rise(line: str, pair: str) -> int:
+    return line.count(pair[0]) - line.count(pair[1])
+
+
+def class_bounds(lines: list[str]) -> tuple[int, int] | None:
+    """The lines of the first class: to where its braces are even again, or its parentheses, where it begins with parameters; else to the end."""
+    for i, line in enumerate(lines):
+        pair = next((pair for pattern, pair in STARTS if pattern.match(line.strip())), None)
+        if pair:
+            depth = _rise(line, pair)
+            for k in range(i + 1, len(lines)):
+                depth += _rise(lines[k], pair)
+                if depth == 0 and (pair == "{}" or lines[k].strip().endswith(")")):
+                    return i, k
+            return i, len(lines) - 1
+    return None
+
+
+def class_elements(source: str | None) -> list[dict]:
+    """Fields outside methods, methods and constants of the first class: kind, name, signature, first and last line from 0.
+
+    A member needs white space before its type, so one without a modifier isn't seen; names in title case are no methods.
+    """
+    lines = (source or "").split("\n")
+    bounds = class_bounds(lines)
+    if not bounds:
+        return []
+    begin, end = bounds
+    trimmed = [x.strip() for x in lines]
+    told = {k: [(i, m) for i in range(begin + 1, end) if trimmed[i] and (m := p.match(trimmed[i])) and (k == "constant" or not trimmed[i].startswith(COMMENT))] for k, p in MEMBERS.items()}
+    inside, depth, busy = set(), 0, False
+    for i in range(begin + 1, end):
+        if not busy and MEMBERS["method"].match(trimmed[i]):
+            busy, depth = True, 0
+        if busy:
+            depth += _rise(trimmed[i], "{}")
+            busy = not (depth == 0 and i > begin + 1)
+            if busy:
+                inside.add(i)
+    out = [_element("field", m[1], _field_signature(trimmed[i]), i, i) for i, m in told["field"] if i not in inside]
+    after = begin
+    for i, m in told["method"]:
+        if i > after and not m[1].istitle():
+            last = _body_end(lines, i, end)
+            if last > i:
+                out.append(_element("method", m[1], re.sub(r"\s+", " ", re.sub("//.*$", "", trimmed[i]).strip()).split("{")[0].strip(), i, last))
+            after = last
+    return out + [_element("constant", m[1], f"KEY_{m[1]}", i, i) for i, m in told["constant"]]
+
+
+def _element(kind: str, name: str, signature: str, first: int, last: int) -> dict:
+    return {"kind": kind, "name": name, "signature": signature, "first": first, "last": last}
+
+
+def _field_signature(line: str) -> str:
+    plain = re.sub(r"\s+", " ", re.sub("//.*$", "", line).strip())
+    found = re.match(r"^(?:private|protected|public)?\s+(\w+(?:\[\])?)\s+(\w+)", plain)
+    return f"{found[1]} {found[2]}" if found else plain
+
+
+def _body_end(lines: list[str], begin: int, end: int) -> int:
+    """The line at whose end the braces opened since begin are closed; begin if there is none."""
+    depth, opened = 0, False
+    for i in range(begin, end):
+        opened |= "{" in lines[i]
+        depth += _rise(lines[i], "{}")
+        if opened and depth == 0:
+            return i
+    return begin
+
+
+ELEMENT = StructType([StructField(n, StringType()) for n in ("kind", "name", "signature")] + [StructField(n, IntegerType()) for n in ("first", "last")])
+
+
+@F.pandas_udf(ArrayType(ELEMENT))
+def class_elements_udf(sources: pd.Series) -> pd.Series:
+    return sources.map(class_elements)
+
+
 @F.pandas_udf(StringType())
 def patch_by_state_udf(texts: pd.Series) -> pd.Series:
     return texts.map(patch_by_state)

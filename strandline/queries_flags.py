@@ -237,3 +237,45 @@ def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pull_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of pull requests counted by repository."""
     return load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("pulls"), F.min("n_nationkey").alias("first"))
+
+
+VARIANT_CASES = (  # instance, module, what is available, tasks, pick
+    ("k9__x-1", ":app-k9mail", "testFullDebugUnitTest,testFossDebugUnitTest", "testFossDebugUnitTest,testFullDebugUnitTest,testFossReleaseUnitTest,testFullReleaseUnitTest", "testFossDebugUnitTest"),
+    ("Thunderbird__t-2", ":backend:imap", "test,testDebugUnitTest", "test", "test"), ("AntennaPod__a-3", ":model", "testReleaseUnitTest", "testDebugUnitTest,testReleaseUnitTest", "testDebugUnitTest"),
+    ("AntennaPod__a-4", ":app", "testPlayDebugUnitTest,detektFreeDebugUnitTest", "testFreeDebugUnitTest,testPlayDebugUnitTest", "testPlayDebugUnitTest"), ("x-5", ":feature:login", "testDebugUnitTest", "testDebugUnitTest,testReleaseUnitTest", "testDebugUnitTest"),
+    ("Tusky-6", ":app", "testGreenDebugUnitTest,testBlueDebugUnitTest,testFullDebugUnitTest", "testBlueDebugUnitTest,testGreenDebugUnitTest,testBlueReleaseUnitTest,testGreenReleaseUnitTest", "testBlueDebugUnitTest"),
+    ("NeoStumbler-7", ":lib", "lint", "testFullDebugUnitTest", "testDebugUnitTest"), ("y-8", ":lib", "detektXDebugUnitTest,detektFossDebugUnitTest", "testDebugUnitTest", "detektFossDebugUnitTest"),
+    ("z-9", ":WordPress", "testJetpackDebugUnitTest,testWordpressVanillaDebugUnitTest", "testWordpressVanillaDebugUnitTest", "testWordpressVanillaDebugUnitTest"),
+)
+
+
+def case_of(column: int) -> str:
+    return f"list_extract({listed(tuple(c[column] for c in VARIANT_CASES))}, (p_partkey % {len(VARIANT_CASES)} + 1)::INTEGER)"
+
+
+@query(f"SELECT p_partkey, {case_of(3)} AS tasks, {case_of(4)} AS pick FROM part")
+def variant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instance, module, available = (word_of(tuple(c[i] for c in VARIANT_CASES), F.col("p_partkey")) for i in range(3))
+    tasks, pick = extract.variant_tasks(instance, module), extract.variant_pick(instance, module, F.split(available, ","))
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(tasks, ",").alias("tasks"), pick.alias("pick"))
+
+
+@query("""SELECT p_partkey, 'field:count:int count:1;method:run' || p_size || ':public void run' || p_size || '(int a):3;constant:MAX:KEY_MAX:2' AS elements FROM part""")
+def class_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    source = F.concat(
+        F.lit("public class C"), key, F.lit(" {\n  private int count = 0; // note\n  public static final int MAX = 3;\n  public void run"), size,
+        F.lit("(int a) {\n    private int local = 1;\n    if (a) {\n    }\n  }\n  int unseen;\n}\nclass D {}"),
+    )
+    found = load(spark, sf_dir, "part").select("p_partkey", parsers.class_elements_udf(source).alias("e"))
+    shown = F.transform("e", lambda e: F.concat_ws(":", e["kind"], e["name"], e["signature"], e["first"].cast("string")))
+    return found.select("p_partkey", F.array_join(shown, ";").alias("elements"))
+
+
+@query("""SELECT p_partkey, 'val id: Long|var m: Map<String, List<Int>>|val x' || p_size || ': Int' AS params,
+  'data class A(' || chr(10) || '  val id: Long,' || chr(10) || '  val name: String' || ',' || chr(10) || '    var m: Map<String, List<Int>>,' || chr(10) || '    val x' || p_size || ': Int,' || chr(10) || ')' || ' { }' AS merged FROM part""")
+def data_class_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stub = F.concat(F.lit("data class A(val id: Long, var m: Map<String, List<Int>>, val x"), F.col("p_size").cast("string"), F.lit(": Int)"))
+    existing = F.lit("data class A(\n  val id: Long,\n  val name: String) { }")
+    merged = extract.merge_data_class(existing, stub)
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.data_class_params(stub), "|").alias("params"), merged.alias("merged"))

@@ -200,3 +200,20 @@ def test_scalars(spark):
     assert value(spark, scalars.to_int, "12x") == 0 and value(spark, scalars.to_int, "12") == 12
     assert value(spark, scalars.stem, "a/b.c/Foo.kt") == "Foo" and value(spark, scalars.capitalised, "debug x") == "Debug x"
     assert value(spark, lambda c: scalars.json_default(c, "$.a.b", 7, "int"), '{"a": {"b": "x"}}') == 7
+
+
+def test_class_elements():
+    source = "package a;\npublic class A {\n  private int[] xs;\n  public static final int MAX = 3;\n  // private int no = 1;\n  public void run(int a) {\n    private int local = 1;\n  }\n  public A(int b) {\n  }\n  int unseen;\n}\nclass B {\n  private int other;\n}"
+    got = [(e["kind"], e["name"], e["signature"], e["first"], e["last"]) for e in parsers.class_elements(source)]
+    assert got == [("field", "xs", "int[] xs", 2, 2), ("method", "run", "public void run(int a)", 5, 7), ("constant", "MAX", "KEY_MAX", 3, 3)]
+    assert parsers.class_elements(None) == [] and parsers.class_bounds("data class P(\n  val a: Int,\n)\nx".split("\n")) == (0, 2)
+    assert parsers.class_bounds("class P {\n  x".split("\n")) == (0, 1)
+
+
+def test_data_class(spark):
+    existing = "package p\n\ndata class A(val id: Long,\n  val f: (Int) -> Unit = {}"
+    assert value(spark, extract.data_class_params, "data class A ( val a: Map<String, List<Int>> , var b: Int, )") == ["val a: Map<String, List<Int>>", "var b: Int"]
+    merged = value(spark, extract.merge_data_class, "x\ndata class A(\n  val id: Long,\n) { y }", "data class A(val id: Int, val more: Int)")
+    assert merged == "x\ndata class A(\n  val id: Long,\n\n    val more: Int,\n) { y }"
+    assert value(spark, lambda a, b: extract.merge_data_class(a, b, whole=False), "x\ndata class A() { y }", "data class A(val n: Int)") == "data class A(\n    val n: Int,\n)"
+    assert value(spark, extract.merge_data_class, existing, "class B") == existing
