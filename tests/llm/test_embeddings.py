@@ -66,21 +66,21 @@ def test_evenly_spread_vectors(spark, monkeypatch):
     """A tile is sent to at most as many tasks as there are intervals, and few pairs get past the bound on the leading axes."""
     rng = np.random.default_rng(8)
     sent = {}
-    for n in (600, 3000):
+    for n in (1000, 5000):  # several tiles in each of the eight intervals
         vectors = rng.normal(size=(n, 64)).tolist()
-        cut, basis = sides_of(spark, vectors, 64, axes=16)
+        cut, basis = sides_of(spark, vectors, 32, axes=16)
         n_tiles = cut.count()
         pairs = embeddings.near_sides(embeddings.boxes(cut, cut.side, 16), 16, math.sqrt(0.1))
         assert pairs.count() <= 36
         per = {r["side"]: r["count"] for r in cut.groupBy("side").count().collect()}
         sent[n] = sum(per[r["pa"]] + (per[r["pb"]] if r["pa"] != r["pb"] else 0) for r in pairs.collect()) / n_tiles
         assert sent[n] <= 8
-        if n == 600:
+        if n == 1000:
             monkeypatch.setattr(embeddings, "LEAF", 64)
             side = embeddings.Side(sorted((r.asDict() for r in cut.collect()), key=lambda r: r["tile"]), basis)
             assert (side.bound @ side.bound.T >= 0.95 - embeddings.SLACK).sum() < n + 0.01 * n * n
             assert np.all(side.bound.astype(float) @ side.bound.T.astype(float) >= side.unit @ side.unit.T - 1e-6)
-    assert sent[3000] <= 1.2 * sent[600]
+    assert sent[5000] <= 1.2 * sent[1000]
 
 
 def test_a_common_vector(spark):
