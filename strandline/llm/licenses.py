@@ -8,6 +8,10 @@ Whole licences of several paragraphs are also found as runs of words, in a form
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -107,45 +111,86 @@ WHOLE = (
 )
 
 
+#: What a text in lower case must hold for one of the copyright patterns to match, and for a spelling to be replaced.
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©", "all rights reserved")
+ANY_SPELLING = " (?:" + "|".join(sorted({a for a, _ in SPELLINGS})) + ") "
+
+
 def canonical(text: Column) -> Column:
     """The canonical form. Spellings are replaced in whole words; of two that overlap the first in SPELLINGS wins."""
-    return _spelled(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "))
+    low = F.lower(text)
+    return _spelled(F.when(_signed(low), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low))
 
 
 def strict(text: Column) -> Column:
     """The canonical form, but that only copyright statements are taken out."""
-    return _spelled(F.lower(F.regexp_replace(text, COPYRIGHT_STATEMENT, " ")))
+    return _spelled(F.lower(F.when(_signed(F.lower(text)), F.regexp_replace(text, COPYRIGHT_STATEMENT, " ")).otherwise(text)))
+
+
+def _signed(low: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in COPYRIGHT_SIGNS])
 
 
 def _spelled(plain: Column) -> Column:
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for old, new in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(plain)
+    """One look for any spelling; a search for each goes only through the few texts that have one."""
+
+    def replaced(words: Column) -> Column:
+        out = words
+        for old, new in SPELLINGS:
+            out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+        return F.trim(F.when(words.rlike(ANY_SPELLING), out).otherwise(words))
+
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.transform(F.array(words), replaced)[0]
+
+
+def telling_words(forms: list[str], least: int = 7) -> list[str]:
+    """Words of which each form has one: a text can only have a form if it has, in lower case, one of these or of the spellings that become it.
+
+    Of long words those that most forms share; a form without any gives its longest word. Words that a spelling of several words makes are left out.
+    """
+    made = {w for old, new in SPELLINGS if " " in old + new for w in new.split()}
+    words = [{w for w in f.split(" ") if w and w not in made} for f in forms]
+    left = [w for w in [{x for x in ws if len(x) >= least} or set(sorted(ws, key=lambda x: (-len(x), x))[:1]) for ws in words] if w]
+    found = []
+    while left:
+        counts = Counter(x for w in left for x in w)
+        best = min(counts, key=lambda x: (-counts[x], -len(x), x))
+        found.append(best)
+        left = [w for w in left if best not in w]
+    return sorted({v for w in found for v in (w, *(old for old, new in SPELLINGS if new == w))})
+
+
+def may_have(text: Column, forms: list[str]) -> Column:
+    """Whether a text can have any of the forms. Forms of which one has no telling word keep all texts."""
+    words = telling_words(forms)
+    if not words or any(not f for f in forms):
+        return F.lit(bool(forms))
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
-    """(digest, license): a row for each distinct canonical form of the known texts."""
+def known_forms(spark: SparkSession, known: tuple, form: Callable[[Column], Column]) -> list[tuple[str, str]]:
+    """(license, form) of each known text."""
     if not known:
-        return spark.range(0).select(F.lit("").alias("digest"), F.lit("").alias("license"))
-    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("known_text")) for i, t in known])
-    listed = spark.range(1).select(F.explode(rows).alias("k")).select("k.*")
-    return listed.groupBy(digest(F.col("known_text")).alias("digest")).agg(F.min("license").alias("license"))
-
-
-def known_runs(spark: SparkSession, whole: tuple) -> list[tuple[str, str]]:
-    """(license, strict form) of each text."""
-    if not whole:
         return []
-    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in whole])
-    listed = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", strict(F.col("k.text")).alias("form"))
+    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in known])
+    listed = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", form(F.col("k.text")).alias("form"))
     return [(r["license"], r["form"]) for r in listed.collect()]
 
 
+def known_digests(spark: SparkSession, forms: list[tuple[str, str]]) -> DataFrame:
+    """(digest, license): a row for each distinct canonical form."""
+    least: dict[str, str] = {}
+    for name, form in forms:
+        key = hashlib.sha256(form.encode()).hexdigest()
+        least[key] = min(name, least.get(key, name))
+    return spark.createDataFrame(sorted(least.items()), "digest string, license string")
+
+
 def lookup(docs: DataFrame, known: tuple = KNOWN, whole: tuple = WHOLE) -> DataFrame:
     """docs(doc_id, text, ...): returns (doc_id, digest, license, part_licenses, n_parts) for each row of docs.
 
@@ -157,15 +202,18 @@ def lookup(docs: DataFrame, known: tuple = KNOWN, whole: tuple = WHOLE) -> DataF
     A text without a licence so far has that of `whole` whose strict form is its own; else those of `whole` that its
     strict form has as a run of words count as parts.
     """
-    table = known_digests(docs.sparkSession, known)
+    spark = docs.sparkSession
+    forms, runs = known_forms(spark, known, canonical), known_forms(spark, whole, strict)
+    table = known_digests(spark, forms)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # only lines that can be known are digested: the canonical form of each known text has one of these words
+    # only parts that can be known are digested
     parts = F.array_distinct(F.concat(F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))
-    likely = F.filter(parts, lambda p: p.rlike(r"(?i)licen[cs]e|permission|warrant|software"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), likely.alias("parts"), _runs(text, known_runs(docs.sparkSession, whole)).alias("runs"))
+    only = [f for _, f in forms]
+    likely = F.when(may_have(text, only), F.filter(parts, lambda p: may_have(p, only))).otherwise(F.expr("cast(array() as array<string>)"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), likely.alias("parts"), _runs(text, runs).alias("runs"))
     canon = F.filter(F.transform("parts", canonical), lambda c: F.size(F.split(c, " ")) >= LEAST_WORDS)
     hashed = base.select("doc_id", "digest", "runs", F.transform(F.array_distinct(canon), lambda c: F.sha2(c.cast("binary"), 256)).alias("parts"))
-    entries = [F.lit(v) for r in table.collect() for v in (r["digest"], r["license"])]
+    entries = [F.lit(v) for r in table.collect() for v in (r["digest"], r["license"])]  # a row for each known text
     index = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(None).cast("string"))
     joined = hashed.join(F.broadcast(table), "digest", "left")
     found = joined.withColumn("hits", F.filter(F.transform("parts", lambda d: F.try_element_at(index, d)), lambda x: x.isNotNull()))
@@ -189,4 +237,4 @@ def _runs(text: Column, forms: list[tuple[str, str]]) -> Column:
             F.array_distinct(F.array_compact(F.array(*[F.when(F.concat(F.lit(" "), f, F.lit(" ")).contains(F.lit(f" {t} ")), F.lit(k)) for k, t in forms]))).alias("inside"),
         ),
     )
-    return F.when(text.rlike(r"(?i)licen[cs]e|permission|redistribution|software"), given[0]).otherwise(none)
+    return F.when(may_have(text, [f for _, f in forms]), given[0]).otherwise(none)

@@ -52,3 +52,22 @@ def test_whole_licences_inside_a_text(spark):
     texts = ["A project.\n\nCopyright 2021 X\n\n" + licenses.MIT + "\n\nThe end.", "Read me\n\n" + gpl + "\n\n" + licenses.ISC, "Read me\n\n" + licenses.MIT[:-9]]
     got = found(spark, texts)
     assert [(got[i]["license"], got[i]["part_licenses"], got[i]["n_parts"]) for i in range(3)] == [(None, "MIT", 1), (None, "GPL-3.0,ISC", 2), (None, "", 0)]
+
+
+def test_known_texts_of_any_words(spark):
+    known = (("X", "you may copy this freely forever"), ("Y", "do as you do"), ("Z", "50 per cent of Copyright Owner Centre"))
+    texts = ["intro\nYou may copy: this freely, forever.\nmore words", "Do as you do", "50 percent of copyright holder center", "nothing of this", "you may copy this freely", "the 50 PER CENT, of copyright owner centre!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["part_licenses"]) for r in licenses.lookup(docs, known, ()).collect()}
+    assert got[0] == (None, "X") and got[1] == ("Y", "Y") and got[2][0] == "Z" and got[3] == got[4] == (None, "")
+
+
+def test_telling_words_are_in_every_text_of_the_form(spark):
+    rng = __import__("random").Random(7)
+    forms = [f for _, f in licenses.known_forms(spark, licenses.KNOWN + licenses.WHOLE, licenses.canonical)]
+    words = licenses.telling_words(forms)
+    assert all(any(w in f for w in words) for f in forms) and len(words) < 25
+    back = {new: old for old, new in licenses.SPELLINGS}
+    for f in forms:
+        raw = "".join(rng.choice([x.upper(), x.title(), x]) + rng.choice([" ", "\n", ", ", " - "]) for x in (back.get(w, w) for w in f.split()))
+        assert any(w in raw.lower() for w in words)
