@@ -124,25 +124,30 @@ def read(p: dict, gx: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple
     return both, u @ p["va"], memo | {"both": both, "u": u}
 
 
-def forward(p: dict, gx: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Logits of stretches, each one window, and what backward() needs."""
+def forward(p: dict, gx: np.ndarray, mask: np.ndarray, pool: np.ndarray | None = None, window: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    """Logits of windows, and what backward() needs. pool: which words of the stretches belong to a window, all if not given; window: to which, each stretch to its own if not given."""
     both, score, memo = read(p, gx, mask, keep=True)
-    score = np.where(mask, score, -1e9)
-    e = np.exp(score - score.max(axis=0))
-    weight = e / e.sum(axis=0)
-    pooled = np.einsum("tm,tmd->md", weight, both)
-    return pooled @ p["wo"] + p["bo"], memo | {"weight": weight, "pooled": pooled}
+    pool, window = mask if pool is None else pool, np.arange(mask.shape[1]) if window is None else window
+    n = int(window.max()) + 1
+    top = np.full(n, -np.inf, dtype=score.dtype)
+    np.maximum.at(top, window, np.where(pool, score, -np.inf).max(axis=0))
+    e = np.where(pool, np.exp(np.where(pool, score - top[window], 0)), 0)
+    weight = (e / np.bincount(window, weights=e.sum(axis=0), minlength=n)[window]).astype(score.dtype)
+    pooled = np.zeros((n, 2 * HIDDEN), dtype=score.dtype)
+    np.add.at(pooled, window, np.einsum("tm,tmd->md", weight, both))
+    return pooled @ p["wo"] + p["bo"], memo | {"weight": weight, "pooled": pooled, "window": window}
 
 
 def backward(p: dict, memo: dict, mask: np.ndarray, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the parameters behind the inputs, and of the input sums."""
-    both, u, weight, pooled = (memo[k] for k in ("both", "u", "weight", "pooled"))
+    both, u, weight, pooled, window = (memo[k] for k in ("both", "u", "weight", "pooled", "window"))
     steps, m = mask.shape
     g = {"wo": pooled.T @ d_logit, "bo": np.array([d_logit.sum()])}
-    d_pooled = d_logit[:, None] * p["wo"]
+    d_pooled = (d_logit[:, None] * p["wo"])[window]
     d_both = weight[:, :, None] * d_pooled
     d_weight = np.einsum("md,tmd->tm", d_pooled, both)
-    d_score = weight * (d_weight - (weight * d_weight).sum(axis=0))
+    mean = np.bincount(window, weights=(weight * d_weight).sum(axis=0), minlength=len(pooled))[window].astype(both.dtype)
+    d_score = weight * (d_weight - mean)
     g["va"] = np.einsum("tm,tma->a", d_score, u)
     d_u = d_score[:, :, None] * p["va"] * (1 - u * u)
     g["wa"] = np.einsum("tmd,tma->da", both, d_u)
@@ -179,14 +184,12 @@ def stretches_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(own - MARGIN, 0), own
 
 
-def _index(docs: list[np.ndarray]) -> np.ndarray:
-    """Word numbers of all stretches of docs, -1 behind their end."""
-    rows = [np.empty((0, WINDOW), dtype=np.int64)]
-    for ids in docs:
-        at = stretches_of(len(ids))[0][:, None] + np.arange(WINDOW)
-        if len(at):
-            rows.append(np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], -1))
-    return np.concatenate(rows)
+def _index(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all stretches of a text, -1 behind its end, and which of them are a stretch's own."""
+    begin, own = stretches_of(len(ids))
+    at = begin[:, None] + np.arange(WINDOW)
+    numbers = np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], -1) if len(ids) else at
+    return numbers, (at >= own[:, None]) & (at < np.minimum(own + OWN, len(ids))[:, None])
 
 
 def inputs(number: np.ndarray, lengths: np.ndarray, grams: tuple, word_odds: np.ndarray, gram_odds: np.ndarray, p: dict) -> np.ndarray:
@@ -294,23 +297,32 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
         for a, x in blocks(f):
             static[f, a : a + len(x)] = x[:, :STATIC]
     rows, sizes_ = (grams % CHAR_ROWS).astype(np.uint16), ends - starts
-    # stretches that are learned from: of a toxic text the most suspect one, of a clean one the most suspect and two by chance
-    picked, target, of_fold = [], [], []
+    # windows that are learned from, pooled of their stretches' own words as windows are that are scored: of a toxic text the
+    # most suspect one, of a clean one the most suspect and two by chance
+    picked, pooled, pieces, target, of_fold = [], [], [], [], []
     for k, ids in enumerate(docs):
-        index = _index([ids])
-        if not len(index):
+        if not len(ids):
             continue
-        x = static[fold[k]]
-        suspect = np.where(index >= 0, np.maximum(x[index, 0], 0) + np.maximum(x[index, 1], 0), 0).sum(axis=1)
-        best = [int(suspect.argmax())]
+        index, own = _index(ids)
+        place = stretches_of(len(ids))[0][:, None] + np.arange(WINDOW)
+        x = static[fold[k]][ids]
+        sums = np.concatenate(([0], np.cumsum(np.maximum(x[:, 0], 0) + np.maximum(x[:, 1], 0), dtype=float)))
+        starts_ = np.arange(max(1, len(ids) - WINDOW + 1))
+        best = [int((sums[np.minimum(starts_ + WINDOW, len(ids))] - sums[starts_]).argmax())]
         if not labels[k]:
-            best += list(rng.integers(0, len(index), 2))
-        picked.append(index[best])
-        target += [float(labels[k])] * len(best)
-        of_fold += [fold[k]] * len(best)
+            best += list(rng.integers(0, len(starts_), 2))
+        for begin in best:
+            held = own & (place >= begin) & (place < begin + WINDOW)
+            rows_ = np.flatnonzero(held.any(axis=1))
+            picked.append(index[rows_])
+            pooled.append(held[rows_])
+            pieces.append(len(rows_))
+            target.append(float(labels[k]))
+            of_fold.append(fold[k])
     if not picked or len(set(target)) < 2:
         return {"rate": float(rate)}
-    picked, target, of_fold = np.concatenate(picked), np.array(target, dtype=np.float32), np.array(of_fold)
+    picked, pooled, pieces, target = np.concatenate(picked), np.concatenate(pooled), np.array(pieces), np.array(target, dtype=np.float32)
+    of_fold, first_piece = np.repeat(of_fold, pieces), np.cumsum(pieces) - pieces
     balance = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
@@ -318,7 +330,9 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     for _ in range(epochs):
         order = rng.permutation(len(target))
         for a in range(0, len(order), BATCH):
-            at = order[a : a + BATCH]
+            chosen_ = order[a : a + BATCH]
+            window = np.repeat(np.arange(len(chosen_)), pieces[chosen_])
+            at = np.concatenate([np.arange(first_piece[i], first_piece[i] + pieces[i]) for i in chosen_])
             part, mask = picked[at].T, picked[at].T >= 0
             own, back = np.unique(part[mask], return_inverse=True)
             # inputs of the batch's (fold, word) pairs
@@ -334,8 +348,8 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
             x[mask, STATIC:] = learned[back]
             sums = x[:, None] @ p["wx"] + p["bx"]
             gx = np.stack((sums[:, 0], sums[::-1, 1]), axis=1)
-            logit, memo = forward(p, gx, mask)
-            d = (_sigmoid(logit) - target[at]) * balance[at] / len(at)
+            logit, memo = forward(p, gx, mask, pooled[at].T, window)
+            d = (_sigmoid(logit) - target[chosen_]) * balance[chosen_] / len(chosen_)
             g, d_gx = backward(p, memo, mask, d.astype(np.float32))
             d_sums = np.stack((d_gx[:, 0], d_gx[::-1, 1]))  # (direction, step, window, 3 * HIDDEN)
             flat_x, flat_d = x.reshape(-1, _IN), d_sums.reshape(2, -1, 3 * HIDDEN)

@@ -14,16 +14,18 @@ def small(rng, steps=5, m=4):
     return p, rng.normal(size=(steps, 2, m, 3 * toxicity.HIDDEN)), mask
 
 
+@pytest.mark.parametrize("window", [None, [0, 0, 1, 0]])
 @pytest.mark.parametrize("name", ["uz", "un", "wa", "va", "wo", "bo", "gx"])
-def test_gradients_against_differences(name):
+def test_gradients_against_differences(name, window):
     rng = np.random.default_rng(0)
     p, gx, mask = small(rng)
-    weight = rng.normal(size=4)
+    weight = rng.normal(size=4 if window is None else 2)
+    pooled = () if window is None else (mask & (rng.random(mask.shape) < 0.7), np.array(window))
 
     def loss():
-        return float((toxicity.forward(p, gx, mask)[0] * weight).sum())
+        return float((toxicity.forward(p, gx, mask, *pooled)[0] * weight).sum())
 
-    _, memo = toxicity.forward(p, gx, mask)
+    _, memo = toxicity.forward(p, gx, mask, *pooled)
     g, d_gx = toxicity.backward(p, memo, mask, weight)
     array, grad = (gx, d_gx) if name == "gx" else (p[name], g[name])
     for at in [tuple(int(rng.integers(0, n)) for n in array.shape) for _ in range(6)]:
