@@ -42,21 +42,25 @@ def shingle_hashes(text: bytes | None, width: int) -> list[int]:
     return [digest(flat[a:b], SEED) for a, b in zip(begin, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
+def majority(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each array of hashes, none of them empty: a bit is 1 if it is set in over half the hashes."""
+    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+    sizes = np.array([len(h) for h in hashes])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    bits = np.unpackbits(np.concatenate(hashes).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.where(2 * sums > sizes[:, None], weights, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+
+
 def fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
     """A bit is 1 if it is set in over half the hashes; 0 without words."""
     out = np.zeros(len(texts), dtype=np.uint64)
-    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
     held: list[list[int]] = []
     rows: list[int] = []
 
     def flush() -> None:
         if rows:
-            sizes = np.array([len(h) for h in held])
-            flat = np.concatenate([np.array(h, dtype="<u8") for h in held])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[rows] = np.where(2 * sums > sizes[:, None], weights, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            out[rows] = majority([np.array(h, dtype=np.uint64) for h in held])
             held.clear()
             rows.clear()
 
@@ -139,24 +143,35 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = deeper
 
 
-def search_trees(fps: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:
-    """For each item the least item that it reaches by links inside its shard."""
-    edge, child = build_trees(fps, root)
-    labels = np.arange(len(fps))
+def look_up(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], q: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Looks up each item q in the tree whose root is its node. Gives the pairs (q, node) within the radius, level by level."""
+    edge, child = tree
+    while len(q):
+        d = np.bitwise_count(fps[q] ^ fps[node]).astype(np.int64)
+        hit = d <= radius
+        yield q[hit], node[hit]
+        lo = np.searchsorted(edge, node * 65 + np.maximum(d - radius, 0))
+        n = np.searchsorted(edge, node * 65 + np.minimum(d + radius, 64), side="right") - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        q, node = np.repeat(q, n), child[at]
+
+
+def tree_hits(fps: np.ndarray, root: np.ndarray, radius: int, held: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Looks up each item in its own shard's tree, as many at once as may meet `held` nodes."""
+    tree = build_trees(fps, root)
     size = np.bincount(root, minlength=len(fps))[root]
     begin = 0
-    while begin < len(fps):  # as many lookups as may meet FRONTIER nodes
-        end = max(begin + 1, int(np.searchsorted(np.cumsum(size[begin:]), FRONTIER)) + begin)
-        q, node = np.arange(begin, end), root[begin:end]
-        while len(q):
-            d = np.bitwise_count(fps[q] ^ fps[node]).astype(np.int64)
-            hit = (d <= radius) & (q != node)
-            labels = merge(labels, q[hit], node[hit])
-            lo = np.searchsorted(edge, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(edge, node * 65 + np.minimum(d + radius, 64), side="right") - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            q, node = np.repeat(q, n), child[at]
+    while begin < len(fps):
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(size[begin:]), held)) + begin)
+        yield from look_up(fps, tree, np.arange(begin, end), root[begin:end], radius)
         begin = end
+
+
+def search_trees(fps: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:
+    """For each item the least item that it reaches by links inside its shard."""
+    labels = np.arange(len(fps))
+    for q, node in tree_hits(fps, root, radius):
+        labels = merge(labels, q, node)
     return labels
 
 

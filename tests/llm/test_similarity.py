@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from strandline.llm import similarity
 
 
@@ -137,3 +138,50 @@ def test_rows_that_share_or_lack_a_doc_id(spark):
     kept = similarity.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["text"][0], r["doc_id"] or 0) for r in kept.collect()) == [("a", 1), ("b", 1), ("c", 0), ("d", 0)]
+
+
+def test_fingerprints_are_of_distinct_shingles():
+    rng = random.Random(4)
+    texts = ["a b c d e f " * 9, "one", "x y z"] + edited_texts(rng, 3, 2)
+    for text, got in zip(texts, similarity.set_prints(similarity.shingle_sets([None, *(t.encode() for t in texts)], 5))[1:].tolist(), strict=True):
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in plain_set(text)]
+        assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("a, b, shared", [(4, 5, 4), (9, 9, 8), (13, 14, 12), (180, 180, 160), (200, 160, 160)])
+def test_the_radius_holds_pairs_of_similarity_0_8(a, b, shared):
+    rng = np.random.default_rng(a)
+    sets = []
+    for _ in range(4000):
+        h = rng.integers(0, 1 << 64, a + b - shared, dtype=np.uint64)
+        sets += [h[:a], h[a - shared :]]
+    prints = similarity.set_prints(sets)
+    assert np.bitwise_count(prints[::2] ^ prints[1::2]).max() <= similarity.tree_radius(0.8) < 32
+
+
+def test_links_of_many_shards_against_plain_code(monkeypatch):
+    monkeypatch.setattr(similarity, "SHINGLES", 3000)
+    monkeypatch.setattr(similarity, "MET", 50)
+    rng = random.Random(9)
+    sizes = [1, 3, 40, 1, 60, 7]
+    texts = [edited_texts(rng, 1 + n // 9, n)[:n] for n in sizes]
+    sets = [s for shard in texts for s in similarity.shingle_sets([t.encode() for t in shard], 5)]
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    want = np.concatenate([plain_components(t, 0.8) for t in texts]) + first
+    assert similarity.link_shards(sets, first, 0.8, similarity.tree_radius(0.8)).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("block, radius", [(similarity.BLOCK, 6), (4, 6), (4, 64)])
+def test_links_of_the_stage_come_from_the_trees(spark, monkeypatch, block, radius):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "tree_radius", lambda least: radius)
+    texts = edited_texts(random.Random(11), 8, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    prints = similarity.set_prints(similarity.shingle_sets([t.encode() for t in texts], 5))
+    sets = [plain_set(t) for t in texts]
+    near = np.array([[plain_jaccard(x, y) >= 0.8 for x in sets] for y in sets]) & (np.bitwise_count(prints[:, None] ^ prints) <= radius)
+    for _ in texts:
+        near = near @ near
+    want = set(near.argmax(axis=1).tolist())
+    assert kept == want and (radius == 64) == (want == set(plain_components(texts, 0.8)))
