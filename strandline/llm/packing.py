@@ -22,11 +22,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import materialise, worker_cache
+from strandline.llm.common import give_back, materialise, trimmed, worker_cache
 
 CAPACITY, END = 4096, 2
-#: Rests in a group, on average; the distinct parts of words that a worker remembers; the bytes of texts that it encodes at once.
-GROUP, PARTS, TEXT_BYTES = 1024, 600_000, 1 << 23
+#: Rests in a group, on average; the distinct parts of words that a worker remembers; the bytes of texts that it encodes at once, and the entries whose ids it gathers at once.
+GROUP, PARTS, TEXT_BYTES, ENTRIES = 1024, 600_000, 1 << 22, 1 << 16
 
 
 def _append(ids: array, starts: array, sizes: array, more: np.ndarray, each: np.ndarray) -> None:
@@ -37,9 +37,14 @@ def _append(ids: array, starts: array, sizes: array, more: np.ndarray, each: np.
 
 def _gather(ids: array | np.ndarray, starts: array | np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The ids of entries, one after another."""
-    ends = np.cumsum(sizes)
-    place = np.repeat(np.asarray(starts, dtype=np.int64)[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-    return np.asarray(ids, dtype="<u4")[place]
+    ids, starts, out, done = np.asarray(ids, dtype="<u4"), np.asarray(starts), np.empty(int(sizes.sum()), dtype="<u4"), 0
+    for a in range(0, len(at), ENTRIES):
+        n = sizes[a : a + ENTRIES]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[at[a : a + ENTRIES]].astype(np.int64) - ends + n, n) + np.arange(ends[-1])
+        out[done : done + len(place)] = ids[place]
+        done += len(place)
+    return out
 
 
 class WordCache:
@@ -56,8 +61,8 @@ class WordCache:
     RARE = re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
     #: The same among letters, for Arrow's patterns, and the one whose lower case is two; signs that may stand behind a word's letters and are one part there.
     RARE_LETTER, SIGNS = r"[^\x{21}-\x{7e}\x{a1}-\x{12f}\x{131}-\x{24f}]", ".,;:!?%&$#*|<>()\"-"
-    #: Parts encoded at once.
-    JOINED = 256
+    #: Parts encoded as one text, and such texts encoded at once.
+    JOINED, BATCH = 256, 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -86,7 +91,7 @@ class WordCache:
         groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
         joined = [" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in g]) for g in groups]
         ids, sizes = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
-        for group, found in zip(groups, self.light.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self._encoded(joined), strict=True):
             own = np.array(found.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[own]) + 1
             if len(ends) == len(group):
@@ -101,6 +106,10 @@ class WordCache:
         self.held = pa.concat_arrays([self.held, pa.array(plain + rare + empty, pa.string())])
         _append(self.flat, self.starts, self.sizes, np.concatenate(ids), np.concatenate(sizes))
 
+    def _encoded(self, texts: list[str]) -> Iterator:
+        for i in range(0, len(texts), self.BATCH):
+            yield from self.light.encode_batch_fast(texts[i : i + self.BATCH], add_special_tokens=False)
+
     def _add_whole(self, parts: list[str], ids: list, sizes: list, texts: list[str]) -> None:
         each = [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
         ids += each
@@ -171,6 +180,7 @@ def _behind(words: pa.Array, core: pa.Array) -> pa.Array:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids with `end` behind, cut into windows and a rest."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache(("words", tokenizer_path), lambda: WordCache(tokenizer_path))
         for b in batches:
@@ -190,6 +200,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
                         total.append(len(ids))
+                give_back()
             columns = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

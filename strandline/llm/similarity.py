@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.llm.common import binary, join_hot, materialise
+from strandline.llm.common import binary, join_hot, materialise, trimmed
 from strandline.llm.components import connected_components
 from strandline.llm.simhash import BITS, CHUNK, build_trees, look_up, majority, merge, shingle_hashes, tree_hits
 
@@ -118,6 +118,7 @@ def text_key(text: Column) -> Column:
 def with_bands(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_key, digest, bands), a row for each row of docs."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(binary(b.column(2)), width)
@@ -207,6 +208,7 @@ def confirmed(members: DataFrame, width: int, least: float) -> DataFrame:
         fps = pa.array(set_prints([sets[i] if several[i] else sets[i][:0] for i in told.tolist()]).view(np.int64), mask=~several[told])
         return pa.RecordBatch.from_arrays([*(pa.array(x[told]) for x in (groups, blocks, digests, roots)), hashes, fps], names=["group", "block", "digest", "root", "hashes", "fp"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         sets: list[np.ndarray] = []
@@ -228,6 +230,7 @@ def confirmed(members: DataFrame, width: int, least: float) -> DataFrame:
 def with_prints(wide: DataFrame) -> DataFrame:
     """wide(hashes, ...) with fp, the fingerprint of the hashes."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [x.values.to_numpy().view(np.uint64) for x in b.column(b.schema.get_field_index("hashes"))]

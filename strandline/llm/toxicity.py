@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandline.llm.common import binary, worker_cache
+from strandline.llm.common import binary, trimmed, worker_cache
 
 #: Labelled texts that are learned from, at most: the least by hash of doc_id. Texts, of these, that the last step is fitted on.
 TRAIN_TEXTS, CALIBRATION_TEXTS = 3000, 1000
@@ -483,6 +483,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     Of the words in these texts at most VOCABULARY have log-odds and vectors of their own; all others have those of their n-grams.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
@@ -504,6 +505,7 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
     while name in docs.columns:
         name += "_"
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = model.value
         scorer = worker_cache(("scorer", zlib.crc32(blob)), lambda: Scorer(pickle.loads(blob)))
