@@ -26,7 +26,7 @@ from strandline.llm.common import give_back, materialise, trimmed, worker_cache
 
 CAPACITY, END = 4096, 2
 #: Rests in a group, on average; the distinct parts of words that a worker remembers; the bytes of texts that it encodes at once, and the entries whose ids it gathers at once.
-GROUP, PARTS, TEXT_BYTES, ENTRIES = 1024, 600_000, 1 << 22, 1 << 16
+GROUP, PARTS, TEXT_BYTES, ENTRIES = 1024, 600_000, 1 << 21, 1 << 16
 
 
 def _append(ids: array, starts: array, sizes: array, more: np.ndarray, each: np.ndarray) -> None:
